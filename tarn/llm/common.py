@@ -62,3 +62,8 @@ def ascii_lower(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once per row; a plain expression inside a lambda is computed per element."""
+    return F.transform(F.array(value), body)[0]

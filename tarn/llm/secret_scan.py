@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage_table, text_of
+from .common import let, stage_table, text_of
 
 # The base patterns.
 ASSIGN = r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -42,12 +42,17 @@ KINDS = ("assign", "access", "hex", "random")
 
 def _found(text: Column, pattern: str) -> Column:
     """Matches as (start, match), in code points. The text between matches gives the places."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    step = lambda acc, k: F.struct((acc.at + F.length(F.element_at(between, k + 1)) + F.length(F.element_at(matches, k + 1))).alias("at"), F.concat(acc.found, F.array(F.struct((acc.at + F.length(F.element_at(between, k + 1))).alias("start"), F.element_at(matches, k + 1).alias("match")))).alias("found"))
     none = F.array().cast("array<struct<start:int,match:string>>")
-    first = F.struct(F.lit(0).alias("at"), none.alias("found"))
-    return F.when(text.rlike(pattern), F.aggregate(F.sequence(F.lit(0), F.greatest(F.size(matches) - 1, F.lit(0))), first, step, lambda acc: acc.found)).otherwise(none)
+
+    def placed(s: Column) -> Column:
+        length = lambda name, k: F.length(F.element_at(s[name], k + 1))
+        sizes = F.transform(s.matches, lambda m, k: length("between", k) + F.length(m))
+        step = lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n))
+        ends = F.aggregate(sizes, F.array(F.lit(0)), step)
+        return let(ends, lambda e: F.transform(s.matches, lambda m, k: F.struct((F.element_at(e, k + 1) + length("between", k)).alias("start"), m.alias("match"))))
+
+    parts = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("matches"), F.split(text, pattern, -1).alias("between"))
+    return F.when(text.rlike(pattern), let(parts, placed)).otherwise(none)
 
 
 def _spans(found: Column, kind: str) -> Column:
@@ -70,35 +75,59 @@ def _encoding(run: Column) -> Column:
 
 def battery(run: Column) -> Column:
     """-10 log10 of the p-value of `no secret`, 0 to MAX_SCORE; 0 for a run that is no candidate."""
-    encoding = _encoding(run)
-    folded = F.translate(run, "-_", "+/")
-    body = F.when(encoding == "hex", F.lower(folded)).otherwise(folded)
-    pick = lambda values: F.when(encoding == "hex", values["hex"]).when(encoding == "base32", values["base32"]).otherwise(values["base64"])
-    letters = pick({k: F.lit(v) for k, v in ALPHABETS.items()})
-    k = F.length(letters).cast("double")
-    n = F.length(body).cast("double")
-    # Uniformity: the sum of squared counts over the alphabet.
-    squares = F.aggregate(F.split(letters, ""), F.lit(0.0), lambda acc, c: acc + F.pow(n - F.length(F.replace(body, c, F.lit(""))), F.lit(2.0)))
-    chi = k / n * squares - n
-    excess = n * pick({e: F.lit(v) for e, v in PROSE_EXCESS.items()})
-    z_uniform = (chi - (k - 1 + excess)) / F.sqrt(2 * (k - 1 + 2 * excess))
-    values = F.transform(F.split(body, ""), lambda c: F.instr(letters, c).cast("double"))
-    pairs = F.arrays_zip(F.slice(values, F.lit(1), F.size(values) - 1).alias("a"), F.slice(values, F.lit(2), F.size(values) - 1).alias("b"))
     total = lambda array, f: F.aggregate(array, F.lit(0.0), lambda acc, x: acc + f(x))
-    # Runs above and below the middle.
-    upper = total(values, lambda v: (v > k / 2).cast("double"))
-    changes = total(pairs, lambda p: ((p["a"] > k / 2) != (p["b"] > k / 2)).cast("double"))
-    both = 2 * upper * (n - upper)
-    mean_runs = both / n + 1
-    z_runs = F.when(both > n, (changes + 1 - mean_runs) / F.sqrt(both * (both - n) / (n * n * (n - 1)))).otherwise(F.lit(9.0))
-    # Serial correlation.
-    mean = total(values, lambda v: v) / n
-    spread = total(values, lambda v: (v - mean) * (v - mean))
-    z_serial = F.when(spread > 0, (total(pairs, lambda p: (p["a"] - mean) * (p["b"] - mean)) / spread + 1 / n) * F.sqrt(n)).otherwise(F.lit(9.0))
-    passes = 2 * F.least(*(2 * normal_tail(-F.abs(z)) for z in (z_runs, z_serial))) >= RANDOM_LEVEL
-    likely = run.rlike("[0-9]") & (encoding != "base64") | run.rlike("[0-9]") & run.rlike("[a-z]") & run.rlike("[A-Z]")
-    score = F.floor(F.least(F.lit(float(MAX_SCORE)), -10 * F.log10(normal_tail(z_uniform))))
-    return F.when(likely & passes, F.greatest(score, F.lit(0))).otherwise(F.lit(0)).cast("int")
+    folded = F.translate(run, "-_", "+/")
+
+    def setting(encoding: Column) -> Column:
+        pick = lambda values: F.when(encoding == "hex", values["hex"]).when(encoding == "base32", values["base32"]).otherwise(values["base64"])
+        letters = pick({k: F.lit(v) for k, v in ALPHABETS.items()})
+        body = F.when(encoding == "hex", F.lower(folded)).otherwise(folded)
+        return F.struct(letters.alias("letters"), body.alias("body"), F.length(letters).cast("double").alias("k"), F.length(run).cast("double").alias("n"), pick({e: F.lit(v) for e, v in PROSE_EXCESS.items()}).alias("excess"))
+
+    def uniform(s: Column) -> Column:
+        squares = total(F.split(s.letters, ""), lambda c: F.pow(s.n - F.length(F.replace(s.body, c, F.lit(""))), F.lit(2.0)))
+        excess = s.n * s.excess
+        return (s.k / s.n * squares - s.n - (s.k - 1 + excess)) / F.sqrt(2 * (s.k - 1 + 2 * excess))
+
+    def sums(s: Column) -> Column:
+        values = F.transform(F.split(s.body, ""), lambda c: F.instr(s.letters, c).cast("double"))
+
+        def one_pass(v: Column) -> Column:
+            pairs = F.zip_with(F.slice(v, F.lit(1), F.size(v) - 1), F.slice(v, F.lit(2), F.size(v) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+            return let(
+                pairs,
+                lambda p: F.struct(
+                    total(v, lambda x: (x > s.k / 2).cast("double")).alias("upper"),
+                    total(p, lambda x: ((x.a > s.k / 2) != (x.b > s.k / 2)).cast("double")).alias("changes"),
+                    total(v, lambda x: x).alias("sum"),
+                    total(v, lambda x: x * x).alias("squares"),
+                    total(p, lambda x: x.a * x.b).alias("products"),
+                    (F.element_at(v, 1) + F.element_at(v, -1)).alias("ends"),
+                ),
+            )
+
+        return let(values, one_pass)
+
+    def tests(s: Column, t: Column) -> tuple[Column, Column]:
+        both = 2 * t.upper * (s.n - t.upper)
+        z_runs = F.when(both > s.n, (t.changes - both / s.n) / F.sqrt(both * (both - s.n) / (s.n * s.n * (s.n - 1)))).otherwise(F.lit(9.0))
+        mean = t.sum / s.n
+        spread = t.squares - s.n * mean * mean
+        lagged = t.products - mean * (2 * t.sum - t.ends) + (s.n - 1) * mean * mean
+        z_serial = F.when(spread > 1e-9, (lagged / spread + 1 / s.n) * F.sqrt(s.n)).otherwise(F.lit(9.0))
+        return z_runs, z_serial
+
+    def judged(s: Column) -> Column:
+        def with_sums(t: Column) -> Column:
+            smallest = lambda z: 2 * F.least(*(2 * normal_tail(-F.abs(z[k])) for k in ("runs", "serial"))) >= RANDOM_LEVEL
+            runs, serial = tests(s, t)
+            return let(F.struct(runs.alias("runs"), serial.alias("serial")), smallest)
+
+        score = let(uniform(s), lambda z: F.floor(F.least(F.lit(float(MAX_SCORE)), -10 * F.log10(normal_tail(z)))))
+        return F.when(let(sums(s), with_sums), F.greatest(score, F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long"))
+
+    likely = run.rlike("[0-9]") & ((_encoding(run) != "base64") | run.rlike("[a-z]") & run.rlike("[A-Z]"))
+    return F.when(likely, let(setting(_encoding(run)), judged)).otherwise(F.lit(0).cast("long")).cast("int")
 
 
 def stratum(length: Column) -> Column:
