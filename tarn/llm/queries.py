@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, minhash, quality_rules, secret_scan, sentencepiece_viterbi, sharding, token_counts, url_filter
+from . import exact_dedup, minhash, mixing, preference, quality_rules, secret_scan, sentencepiece_viterbi, sharding, token_counts, url_filter
 from .common import table
 
 
@@ -39,6 +39,15 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op8_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return preference.format_pairs(conversations, preference.neighbour_pairs(conversations))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_documents(table(spark, sf_dir, "documents"))
 
@@ -51,10 +60,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_sharding": op7_sharding,
+    "op8_preference": op8_preference,
+    "op9_mixing": op9_mixing,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op8_preference": """
+        WITH t AS (
+            SELECT conv_id // 2 AS pair_id, conv_id % 2 = 0 AS is_chosen, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
+            FROM conversations
+        ), compared AS (
+            SELECT pair_id, turn,
+                   list(role || chr(1) || text ORDER BY role, text) FILTER (WHERE is_chosen) AS c,
+                   list(role || chr(1) || text ORDER BY role, text) FILTER (WHERE NOT is_chosen) AS r
+            FROM t GROUP BY pair_id, turn
+        ), cut AS (
+            SELECT pair_id, min(turn) FILTER (WHERE c IS DISTINCT FROM r) AS cut FROM compared GROUP BY pair_id
+        ), placed AS (
+            SELECT t.*, CASE WHEN cut IS NULL OR turn < cut THEN 'prompt' WHEN is_chosen THEN 'chosen' ELSE 'rejected' END AS segment
+            FROM t JOIN cut USING (pair_id)
+        )
+        SELECT pair_id, segment, turn, role,
+               '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS rendered,
+               CAST(CASE WHEN segment <> 'prompt' AND role = 'assistant' THEN length(role) + 13 ELSE 0 END AS INTEGER) AS mask_from,
+               CAST(CASE WHEN segment <> 'prompt' AND role = 'assistant' THEN length(role) + length(text) + 23 ELSE 0 END AS INTEGER) AS mask_to
+        FROM placed WHERE segment <> 'prompt' OR is_chosen
+    """,
     "op10_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER w AS keep_id,
