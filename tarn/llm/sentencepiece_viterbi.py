@@ -21,18 +21,22 @@ by `encode` unless named token_ids, which is replaced. An empty table gives an e
 from __future__ import annotations
 
 import heapq
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .token_counts import load, model_file, pre_tokens
 
-HELD = 600_000
+HELD = 400_000
+#: Chunks in which a pre-token must have come to be held on when the others are dropped.
+OFTEN = 2
 #: Characters of text that are worked on at once.
 CHUNK = 2_000_000
 #: Places of words that advance together.
@@ -40,30 +44,41 @@ PLACES = 200_000
 _SPACE = "▁"
 _B = np.uint64(0x9E3779B97F4A7C15)
 _M = np.uint64(0xD6E8FEB86659FD93)
-_FILTER_BITS = 22
+_TABLE_BITS = 20
+_KNOWN_BITS = 20
 
 
 class Sorted:
-    """Sorted keys with values; a table of bits answers most probes that miss."""
+    """Sorted keys with values. A table by the upper bits of a key's hash names the key to compare with; the few keys that
+    share a place with another one are found by bisection."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         order = np.argsort(keys)
         self.keys, self.values = keys[order], values[order]
         assert len(np.unique(self.keys)) == len(keys), "two keys have one hash"
-        self.bits = np.zeros(1 << _FILTER_BITS, bool)
-        self.bits[self._bit(self.keys)] = True
+        place = self._place(self.keys)
+        self.table = np.full(1 << _TABLE_BITS, -1, np.int32)
+        self.table[place] = np.arange(len(keys))
+        self.shared = np.zeros(1 << _TABLE_BITS, bool)
+        self.shared[place[np.bincount(place, minlength=1 << _TABLE_BITS)[place] > 1]] = True
 
-    def _bit(self, keys: np.ndarray) -> np.ndarray:
-        return (keys * _M) >> np.uint64(64 - _FILTER_BITS)
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * _M) >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The value of each key, -1 where there is none."""
         out = np.full(len(keys), -1, np.int32)
-        maybe = np.flatnonzero(self.bits[self._bit(keys)])
+        place = self._place(keys)
+        index = self.table[place]
+        maybe = np.flatnonzero(index >= 0)
         if len(maybe):
-            probe = keys[maybe]
-            at = np.minimum(np.searchsorted(self.keys, probe), len(self.keys) - 1)
-            out[maybe] = np.where(self.keys[at] == probe, self.values[at], -1)
+            probe, index = keys[maybe], index[maybe]
+            out[maybe] = np.where(self.keys[index] == probe, self.values[index], -1)
+            again = maybe[self.shared[place[maybe]]]
+            if len(again):
+                probe = keys[again]
+                at = np.minimum(np.searchsorted(self.keys, probe), len(self.keys) - 1)
+                out[again] = np.where(self.keys[at] == probe, self.values[at], -1)
         return out
 
 
@@ -141,6 +156,23 @@ def _hash(text: str) -> int:
     return h
 
 
+class Known:
+    """The answers of `_follows` for the pairs that came last, at a place that the pair decides."""
+
+    def __init__(self) -> None:
+        self.pair, self.ok = np.full(1 << _KNOWN_BITS, -1, np.int64), np.zeros(1 << _KNOWN_BITS, bool)
+
+    def follows(self, v: Vocabulary, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        pair = a.astype(np.int64) * (v.n + 1) + b
+        place = ((pair.astype(np.uint64) * _M) >> np.uint64(64 - _KNOWN_BITS)).astype(np.int64)
+        ok = self.ok[place]
+        new = np.flatnonzero(self.pair[place] != pair)
+        if len(new):
+            ok[new] = _follows(v, a[new], b[new])
+            self.pair[place[new]], self.ok[place[new]] = pair[new], ok[new]
+        return ok
+
+
 def _follows(v: Vocabulary, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether piece b can follow piece a, for many pairs at once."""
     ok = np.ones(len(a), bool)
@@ -164,11 +196,24 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self._spaces_held: dict[int, list[int]] = {}
+        self.known = Known()
         self.reset()
 
     def reset(self) -> None:
         self.index: dict[str, int] = {}
         self.start, self.size, self.flat, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(4096, np.int32), 0
+        self.met = np.zeros(0, np.int64)
+
+    def forget(self) -> None:
+        """Keep only the pre-tokens that came in several chunks."""
+        often = self.met[: len(self.index)] >= OFTEN
+        kept = [p for p, keep in zip(self.index, often.tolist(), strict=True) if keep]
+        start, size = self.start[: len(often)][often], self.size[: len(often)][often]
+        ends = np.cumsum(size.astype(np.int64))
+        flat = self.flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - size), size)]
+        self.reset()
+        if len(kept) < HELD // 2:
+            self._add_many(kept, flat, size)
 
     def _spaces(self, n: int) -> list[int]:
         if n not in self._spaces_held:
@@ -201,7 +246,7 @@ class Encoder:
                     long.append(np.full(len(at), k, np.int32))
                     prior.append(np.full(len(at), v.unknown, np.int32) if k == end else last[end - k][at])
             who, what, long, prior = map(np.concatenate, (who, what, long, prior))
-            fits = _follows(v, prior, what)
+            fits = self.known.follows(v, prior, what)
             who, what, long = who[fits], what[fits], long[fits]
             np.maximum.at(back[end], who, long)
             best = back[end][who] == long
@@ -327,13 +372,15 @@ class Encoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and how many each text has."""
         if len(self.index) > HELD:
-            self.reset()
+            self.forget()
         tokens = [pre_tokens(t) for t in texts]
         flat = [t for ts in tokens for t in ts]
         new = set(flat).difference(self.index)
         if new:
             self.learn(list(new))
         which = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
+        self.met = np.concatenate([self.met, np.zeros(len(self.index) - len(self.met), np.int64)])
+        self.met[np.unique(which)] += 1
         size, start = self.size[which].astype(np.int64), self.start[which]
         ends = np.cumsum(size)
         ids = self.flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - size), size)]
@@ -361,24 +408,21 @@ def _encoder(vocabulary: Vocabulary) -> Encoder:
     return _held[0]
 
 
-def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
-    at = held = 0
-    for k, t in enumerate(texts):
-        held += len(t)
-        if held > CHUNK:
-            yield at, k + 1
-            at, held = k + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
+def _chunks(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with some CHUNK bytes of text each."""
+    if not len(column):
+        return
+    part = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // CHUNK
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(column)]
+    yield from zip(edges[:-1], edges[1:], strict=True)
 
 
 def _encode_batches(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
-    vocabulary = sent.value
-    encoder = _encoder(vocabulary)
+    encoder = _encoder(sent.value)
     for batch in batches:
-        texts = [t or "" for t in batch.column(batch.schema.get_field_index("_text")).to_pylist()]
-        for a, b in _chunks(texts):
-            ids, counts = encoder.encode(texts[a:b])
+        column = batch.column(batch.schema.get_field_index("_text"))
+        for a, b in _chunks(column):
+            ids, counts = encoder.encode([t or "" for t in column.slice(a, b - a).to_pylist()])
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(ids))
             rest = batch.slice(a, b - a).drop_columns(["_text"])
             yield pa.RecordBatch.from_arrays([*rest.columns, lists], names=[*rest.schema.names, "token_ids"])
@@ -393,6 +437,21 @@ def _decode_batches(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(texts, pa.string())], names=[*rest.schema.names, "decoded"])
 
 
+def _round_trip(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
+    """Encoding and decoding in one worker, with the digests that the query returns in place of ids and texts."""
+    v = sent.value
+    encoder = _encoder(v)
+    for batch in batches:
+        for a, b in _chunks(batch.column(1)):
+            texts = batch.column(1).slice(a, b - a).to_pylist()
+            ids, counts = encoder.encode(texts)
+            back = decode_ids(v, ids, counts)
+            raw, ends = ids.astype("<i4").tobytes(), (4 * np.cumsum(counts)).tolist()
+            digests = [zlib.crc32(raw[end - 4 * n : end]) for end, n in zip(ends, counts.tolist(), strict=True)]
+            same = [x == y.replace(_SPACE, " ") for x, y in zip(back, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(counts.astype(np.int64)), pa.array(digests, pa.int64()), pa.array(same)], names=["doc_id", "n_tokens", "ids_crc32", "round_trip"])
+
+
 def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """docs (or its columns `keep`) with token_ids array<int>."""
     sent = docs.sparkSession.sparkContext.broadcast(Vocabulary(path or model_file()))
@@ -409,13 +468,8 @@ def decode(rows: DataFrame, ids_col: str = "token_ids", path: str | None = None,
     return rows.mapInArrow(lambda it: _decode_batches(it, sent), schema)
 
 
-def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Return doc_id, n_tokens, ids_crc32 (of the ids as decimal text, joined by spaces), round_trip."""
-    rows = encode(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
-    out = decode(rows)
-    return out.select(
-        "doc_id",
-        F.size("token_ids").cast("long").alias("n_tokens"),
-        F.crc32(F.array_join("token_ids", " ")).alias("ids_crc32"),
-        (F.col("decoded") == F.translate("text", _SPACE, " ")).alias("round_trip"),
-    )
+def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """Return doc_id, n_tokens, ids_crc32 (of the ids as little-endian 32-bit words), round_trip (decoding gives the text)."""
+    sent = docs.sparkSession.sparkContext.broadcast(Vocabulary(path or model_file()))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return rows.mapInArrow(lambda it: _round_trip(it, sent), "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean")
