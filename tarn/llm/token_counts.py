@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import stage_table, text_of
 
-HOT_SHARE = 200_000
+HOT_SHARE = 600_000
 KEY_CHARS = 48
 OVER_LIMIT = 4096
 #: Distinct pre-tokens a task holds before it passes them on.
@@ -77,7 +77,8 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out() -> pa.RecordBatch:
         keys = list(seen)
-        batch = pa.RecordBatch.from_arrays([pa.array(map(key_of, keys), pa.string()), pa.array(keys, pa.string()), pa.array(seen.values(), pa.int64())], names=["key", "pre_token", "documents"])
+        long = [k if len(k) > KEY_CHARS else None for k in keys]  # the others are their own key
+        batch = pa.RecordBatch.from_arrays([pa.array(map(key_of, keys), pa.string()), pa.array(long, pa.string()), pa.array(seen.values(), pa.int64())], names=["key", "pre_token", "documents"])
         seen.clear()
         return batch
 
@@ -93,7 +94,7 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _count_pieces(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     model = load(path)
     for batch in batches:
-        texts = batch.column(1).to_pylist()
+        texts = [k if p is None else p for k, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
         counts = [len(x) if t else 1 for t, x in zip(texts, model.encode(texts, num_threads=1), strict=True)]  # "" is a single space
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64())], names=["key", "documents", "pieces"])
 
@@ -105,7 +106,7 @@ def _sum_hot(batches: Iterator[pa.RecordBatch], hot: Broadcast) -> Iterator[pa.R
         ids, digests, sizes, keys, counts = [], [], [], [], []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             raw = text.encode()
-            digest, total, rest = hashlib.blake2b(raw, digest_size=16).digest(), 0, []
+            digest, total, rest = int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True), 0, []
             for token in pre_tokens(text):
                 n = known.get(token)
                 if n is None:
@@ -116,13 +117,13 @@ def _sum_hot(batches: Iterator[pa.RecordBatch], hot: Broadcast) -> Iterator[pa.R
             ids += [doc] * (1 + len(cold))
             digests += [digest] * (1 + len(cold))
             sizes += [len(raw)] + [None] * len(cold)
-            keys += [f"\x01{doc} {digest.hex()}"] + [k for k, _ in cold]  # the key of the sum itself matches no pre-token, and is dealt evenly
+            keys += [f"\x01{doc} {digest}"] + [k for k, _ in cold]  # the key of the sum itself matches no pre-token, and is dealt evenly
             counts += [total] + [n for _, n in cold]
             if len(ids) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.string()), pa.array(counts, pa.int64())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.string()), pa.array(counts, pa.int64())], names=names)
                 ids, digests, sizes, keys, counts = [], [], [], [], []
         if ids:
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.string()), pa.array(counts, pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.string()), pa.array(counts, pa.int64())], names=names)
 
 
 def count_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", limit: int = OVER_LIMIT) -> DataFrame:
@@ -133,9 +134,9 @@ def count_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
     pieces = stage_table(distinct.mapInArrow(lambda it: _count_pieces(it, path), "key string, documents long, pieces long"), "token-pieces")
     pairs = pieces.agg(F.sum("documents")).first()[0] or 0
     # At most HOT_SHARE rows pass, as their documents add up to no more than all pairs.
-    hot = pieces.filter((F.col("documents") * HOT_SHARE > pairs) & ~F.startswith("key", F.lit("\x00"))).select("key", "pieces").collect()
-    held = spark.sparkContext.broadcast({r["key"]: r["pieces"] for r in hot})
-    parts = rows.mapInArrow(lambda it: _sum_hot(it, held), "doc_id long, digest binary, n_bytes long, key string, n long")
+    hot = pieces.filter((F.col("documents") * HOT_SHARE > pairs) & ~F.startswith("key", F.lit("\x00"))).select("key", "pieces").toArrow()
+    held = spark.sparkContext.broadcast(dict(zip(hot["key"].to_pylist(), hot["pieces"].to_pylist(), strict=True)))
+    parts = rows.mapInArrow(lambda it: _sum_hot(it, held), "doc_id long, digest long, n_bytes long, key string, n long")
     joined = parts.join(pieces.select("key", "pieces"), "key", "left")
     # Rows that are equal in id and text add up together; each of them has the same share of the sums.
     summed = joined.groupBy("doc_id", "digest").agg(F.sum(F.col("n") * F.coalesce("pieces", F.lit(1))).alias("total"), F.max("n_bytes").alias("n_bytes"), F.count("n_bytes").alias("copies"))
