@@ -4,12 +4,15 @@ Documents with the same set of word shingles are one class. Each class gets a si
 shingle hashes are dealt to BANDS x ROWS bins and each bin keeps its least; an empty bin borrows from a bin that a
 universal hash of (bin, attempt) names, tried until one is filled. Bands of the signature are buckets.
 
-In a bucket the class with the least key is the hub, and candidate edges go from the hub to each other class: a star, not
-all pairs. An edge is confirmed on the full shingle sets. A star alone would lose a link between two classes that are both
-unlike the hub, so buckets whose classes are still in more than one component get further hubs, HUB_GROWTH times as many in
-each round, paired only with classes of other components and pairs not yet compared, until every bucket is one component
-or all of its classes have been hubs. Classes of one component need no comparison, which keeps large groups of copies at
-about one edge a class.
+In a bucket the class that shares most with others (the sum of the sizes of its buckets) is the hub, and candidate edges
+go from the hub to the other classes: a star, not all pairs. Each class is compared with the best of its hubs, on the full
+shingle sets. In a group of copies of one text that text is the hub, so the group is linked by about one edge a class.
+
+A star alone would lose a link between two classes that are both unlike the hub. Buckets whose classes are still in more
+than one component are therefore looked at again, and there an exact bound decides: a shingle that no other class in these
+buckets has is in no intersection, so of n shingles with u such, no more than n - u can be common. Classes that can reach
+the similarity with nobody drop out; of the others, pairs of different components that the bound lets pass are compared.
+So every pair that shares a bucket is linked, in one component anyway, or shown to be too unlike.
 
 Shingles are 64-bit hashes. Links and components are tables; labels are propagated with pointer jumping, and each round
 is staged in the shared folder. Nothing but counts comes to the driver.
@@ -33,7 +36,6 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, let, stage_table, text_of, words_of
 
 BANDS, ROWS = 40, 5
-HUB_GROWTH = 4
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -147,40 +149,32 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: i
     signed = stage_table(shingled.mapInArrow(lambda it: _sign(it, bands, rows), "doc_id long, n long, cls binary, bands array<long>"), "minhash-signatures")
     members = signed.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")).filter("n > 0")
     placed = members.select("cls", "doc_id", "n", F.explode("bands").alias("bucket"))
-    hubs = placed.groupBy("bucket").agg(F.min("cls").alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    buckets = stage_table(placed.join(hubs, "bucket").select("bucket", "cls", "doc_id", "n", "hub"), "minhash-buckets")
+    sizes = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    buckets = stage_table(placed.join(sizes, "bucket"), "minhash-buckets")
     # The sets of the classes that share a bucket with another one.
-    wanted = buckets.groupBy("cls").agg(F.any_value("doc_id").alias("doc_id"))
+    wanted = stage_table(buckets.groupBy("cls").agg(F.any_value("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.sum("size").alias("score")), "minhash-shared")
     texts = source.join(wanted.select(F.col("cls").alias("want"), F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")))
     sets = texts.select("want", shingles(F.col("text"), width).alias("sh")).mapInArrow(_key_sets, "want binary, cls binary, sh array<long>")
     sets = stage_table(sets.filter("cls = want").groupBy("cls").agg(F.any_value("sh").alias("sh")), "minhash-sets")
 
-    possible = (F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent) & (F.col("cls") != F.col("hub"))
-    sizes = buckets.select("cls", "n").distinct()
-    # First round: each class with the least of its hubs.
-    first = buckets.groupBy("cls").agg(F.min("hub").alias("hub"), F.any_value("n").alias("n")).join(sizes.select(F.col("cls").alias("hub"), F.col("n").alias("hub_n")), "hub").filter(possible)
-    compared = stage_table(first.select(F.col("hub").alias("a"), F.col("cls").alias("b")), "minhash-pairs")
+    scored = buckets.select("bucket", "cls", "n").join(wanted.select("cls", "score"), "cls")
+    hubs = scored.groupBy("bucket").agg(F.max(F.struct("score", "cls", "n")).alias("hub"))
+    star = scored.join(hubs, "bucket").filter(F.col("cls") != F.col("hub.cls")).groupBy("cls").agg(F.max("hub").alias("hub"), F.any_value("n").alias("n"))
+    compared = stage_table(star.filter(_possible("n", "hub.n", percent)).select(F.least("hub.cls", "cls").alias("a"), F.greatest("hub.cls", "cls").alias("b")).distinct(), "minhash-pairs")
     labels = _components(_confirmed(compared, sets, percent))
-    n_hubs, open_buckets = 1, buckets.select("bucket", "cls", "n")
-    while True:
-        labelled = open_buckets.select("bucket", "cls", "n").join(labels, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        mixed = labelled.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).filter("low != high").select("bucket", "size")
-        open_buckets = stage_table(labelled.join(mixed, "bucket"), "minhash-open")
-        largest = open_buckets.agg(F.max("size")).first()[0]
-        if largest is None:
-            break
-        rank = F.row_number().over(_by_bucket())
-        hub_rows = open_buckets.withColumn("rank", rank).filter(F.col("rank") <= n_hubs).select("bucket", F.col("cls").alias("hub"), F.col("n").alias("hub_n"), F.col("root").alias("hub_root"))
-        star = open_buckets.join(hub_rows, "bucket").filter(possible & (F.col("root") != F.col("hub_root")))
-        pairs = star.select(F.least("hub", "cls").alias("a"), F.greatest("hub", "cls").alias("b")).distinct().join(compared, ["a", "b"], "left_anti")
-        pairs = stage_table(pairs, "minhash-pairs")
-        links = stage_table(_confirmed(pairs, sets, percent), "minhash-links")
-        compared = compared.unionByName(pairs)
-        if links.limit(1).count():
-            labels = _merged(labels, links)
-        if n_hubs >= largest:
-            break
-        n_hubs *= HUB_GROWTH
+
+    mixed = _mixed(buckets.select("bucket", "cls", "n"), labels)
+    alone = _unshared(sets.join(mixed.select("cls").distinct(), "cls", "left_semi"))
+    rest = mixed.join(alone, F.xxhash64("cls") == F.col("cls_hash"), "left").withColumn("c", F.col("n") - F.coalesce("alone", F.lit(0)))
+    rest = rest.filter(F.col("c") * 100 >= F.col("n") * percent).select("bucket", "cls", "n", "c")
+    rest = stage_table(_mixed(rest, labels), "minhash-open")
+    other = rest.select("bucket", *(F.col(k).alias(f"{k}_b") for k in ("cls", "n", "c", "root")))
+    common = F.least("c", "c_b")
+    passes = (F.col("cls") < F.col("cls_b")) & (F.col("root") != F.col("root_b")) & (common * 100 >= (F.col("n") + F.col("n_b") - common) * percent)
+    pairs = rest.join(other, "bucket").filter(passes).select(F.col("cls").alias("a"), F.col("cls_b").alias("b")).distinct()
+    links = stage_table(_confirmed(stage_table(pairs.join(compared, ["a", "b"], "left_anti"), "minhash-pairs"), sets, percent), "minhash-links")
+    if links.limit(1).count():
+        labels = _merged(labels, links)
     least = signed.groupBy("cls").agg(F.min("doc_id").alias("first")).join(labels, "cls")
     roots = least.groupBy("root").agg(F.min("first").alias("component"))
     component = labels.join(roots, "root").select("cls", "component")
@@ -190,10 +184,23 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: i
     return out.select("doc_id", F.col("n").alias("n_shingles"), "cls", F.when(F.col("n") > 0, F.coalesce("id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _by_bucket():
-    from pyspark.sql import Window
+def _possible(n: str, m: str, percent: int) -> Column:
+    """Whether sets of these sizes can be similar enough."""
+    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
+
+
+def _mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of buckets that hold classes of more than one component, with their component as root."""
+    labelled = rows.join(labels, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    several = labelled.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("bucket")
+    return labelled.join(several, "bucket")
+
 
-    return Window.partitionBy("bucket").orderBy("cls")
+def _unshared(sets: DataFrame) -> DataFrame:
+    """(cls_hash, alone): how many shingles of a class no other of these classes has."""
+    each = sets.select(F.xxhash64("cls").alias("cls_hash"), F.explode("sh").alias("shingle"))
+    single = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("k"), F.any_value("cls_hash").alias("cls_hash")).filter("k = 1")
+    return single.groupBy("cls_hash").agg(F.count(F.lit(1)).alias("alone"))
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
