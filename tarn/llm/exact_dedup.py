@@ -111,7 +111,7 @@ def exact_dedup(docs: DataFrame, historical: Column | None = None, id_col: str =
     historical: which rows are the history, by default those with an id up to the middle of the range of ids. The result
     does not depend on the choice, only the work does."""
     digest = F.unhex(F.sha2(text_of(text_col), 256)) if digest is None else digest
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), digest.alias("digest"), *([historical.alias("old")] if historical is not None else []))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), digest.alias("digest"), *([F.coalesce(historical, F.lit(False)).alias("old")] if historical is not None else []))
     rows = stage_table(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("copies")), "dedup-rows")
     n, low, high = rows.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).first()
     if historical is None:

@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and a randomness test battery with length-aware false-discovery control.
 
 Patterns find `assign`, `access` and `hex` spans. The battery judges every run of 20 or more characters of
-[A-Za-z0-9+/_-] that has a digit or both cases: an encoding is inferred (hex, base32, base64), and the run is tested for
+[A-Za-z0-9+/_-] that has two digits (and both cases, if it is neither hex nor base32): an encoding is inferred (hex, base32, base64), and the run is tested for
  - uniformity: Pearson's chi-squared over the alphabet of the encoding. Under prose it has a noncentrality that grows with
    the length (PROSE_EXCESS per character), so the lower tail of that distribution is the p-value of `no secret`;
  - runs: Wald-Wolfowitz above and below the middle of the alphabet;
@@ -32,7 +32,7 @@ HEX = r"[0-9a-f]{24,}"  # [0-9a-f]+ of 24 or more characters
 
 RUN = r"[A-Za-z0-9+/_-]{20,}"
 ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
-PROSE_EXCESS = {"hex": 1.2, "base32": 1.5, "base64": 3.0}
+PROSE_EXCESS = {"hex": 1.2, "base32": 1.5, "base64": 1.7}
 RANDOM_LEVEL = 0.001
 RATE = 0.01
 MAX_SCORE = 400
@@ -126,7 +126,7 @@ def battery(run: Column) -> Column:
         score = let(uniform(s), lambda z: F.floor(F.least(F.lit(float(MAX_SCORE)), -10 * F.log10(normal_tail(z)))))
         return F.when(let(sums(s), with_sums), F.greatest(score, F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long"))
 
-    likely = run.rlike("[0-9]") & ((_encoding(run) != "base64") | run.rlike("[a-z]") & run.rlike("[A-Z]"))
+    likely = run.rlike("[0-9].*[0-9]") & ((_encoding(run) != "base64") | run.rlike("[a-z]") & run.rlike("[A-Z]"))
     return F.when(likely, let(setting(_encoding(run)), judged)).otherwise(F.lit(0).cast("long")).cast("int")
 
 
