@@ -1,0 +1,113 @@
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tarn.llm import mixing, preference
+
+CONVERSATIONS = [
+    (0, 0, "user", "hi"), (0, 1, "assistant", "good"), (0, 2, "user", "more"), (0, 3, "assistant", "yes"),
+    (1, 0, "user", "hi"), (1, 1, "assistant", "good"), (1, 2, "user", "other"), (1, 3, "assistant", "no"), (1, 4, "user", None),
+    (2, 0, "user", "alone"), (2, 1, None, "odd"),
+    (4, 0, "user", "same"), (4, 1, "assistant", "same"), (5, 0, "user", "same"), (5, 1, "assistant", "same"),
+    (6, 0, "user", "a"), (6, 0, "user", "a"), (7, 0, "user", "a"),
+    (8, None, "system", "first"), (8, 0, "assistant", ""), (9, None, "system", "first"), (9, 0, "assistant", "x"),
+    (None, 0, "user", "nobody"),
+    (10, 0, "assistant", "é" * 5000), (11, 0, "assistant", "e" * 5000),
+]
+
+
+def expected(rows):
+    pairs = defaultdict(lambda: ([], []))
+    for conv, turn, role, text in rows:
+        pairs[None if conv is None else conv // 2][(conv or 0) % 2].append((turn, role or "unknown", text or ""))
+    out = []
+    for pair, sides in pairs.items():
+        places = sorted({-1 if x[0] is None else x[0] for s in sides for x in s})
+        at = lambda s, p: sorted(x[1:] for x in s if (-1 if x[0] is None else x[0]) == p)
+        cut = next((p for p in places if at(sides[0], p) != at(sides[1], p)), 99)
+        for name, side in (("chosen", sides[0]), ("rejected", sides[1])):
+            for turn, role, text in side:
+                before = (-1 if turn is None else turn) < cut
+                if before and name == "rejected":
+                    continue
+                head, trained = f"<|im_start|>{role}\n", not before and role == "assistant"
+                rendered = f"{head}{text}<|im_end|>\n"
+                out.append((pair, "prompt" if before else name, turn, role, rendered, len(head) if trained else 0, len(rendered) - 1 if trained else 0))
+    return sorted(out, key=repr)
+
+
+def test_preference(spark):
+    conversations = spark.createDataFrame(CONVERSATIONS, "conv_id long, turn long, role string, text string").withColumn("pair_id", F.lit(1)).withColumn("cut", F.lit(0))
+    out = preference.format_pairs(conversations, preference.neighbour_pairs(conversations))
+    assert sorted(map(tuple, out.collect()), key=repr) == expected(CONVERSATIONS)
+    masked = [r["rendered"][r["mask_from"] : r["mask_to"]] for r in out.filter("segment = 'rejected' AND role = 'assistant' AND pair_id = 0").collect()]
+    assert masked == ["no<|im_end|>"]
+
+
+def test_preference_in_several_pairs_and_empty(spark):
+    conversations = spark.createDataFrame(CONVERSATIONS, "conv_id long, turn long, role string, text string")
+    pairs = spark.createDataFrame([("p", 0, True), ("p", 1, False), ("q", 0, True), ("q", 2, False)], "pair_id string, conv_id long, is_chosen boolean")
+    got = {(r["pair_id"], r["segment"]) for r in preference.format_pairs(conversations, pairs).collect()}
+    assert got == {("p", "prompt"), ("p", "chosen"), ("p", "rejected"), ("q", "chosen"), ("q", "rejected")}
+    nothing = conversations.limit(0)
+    assert preference.format_pairs(nothing, preference.neighbour_pairs(nothing)).count() == 0
+
+
+def test_rake():
+    mass = np.random.default_rng(0).integers(0, 1000, (4, 3, 2)).astype(float)
+    mass[0, 0, 0] = 0
+    targets = [np.array([0.1, 0.2, 0.3, 0.4]), np.array([0.5, 0.3, 0.2]), np.array([0.6, 0.4])]
+    fitted = mass / mass.sum() * mixing.rake(mass, targets)
+    for axis, t in enumerate(targets):
+        assert np.allclose(fitted.sum(axis=tuple(k for k in range(3) if k != axis)), t, atol=1e-9)
+    assert mixing.rake(np.zeros((2, 2, 2)), [np.array([0.5, 0.5])] * 3).sum() == 0
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(k, "word " * (k % 40 + 1) + ("|" * 6 if k % 10 == 0 else ""), ["en", "de", None][k % 3], f"s{min(k % 8, 3)}") for k in range(6000)]
+    rows += [(None, None, "en", None), (7, "again", "en", "s0"), (7, "again", "en", "s0"), (6001, "", "xx", "rare")]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("probability", F.lit("clash")).withColumn("topic", F.lit("clash"))
+
+
+def test_mix(spark, docs):
+    targets = mixing.Targets(source={"s0": 0.4, "s3": 0.3, "*": 0.3}, lang={"en": 0.5, "*": 0.5}, topic={"table": 0.3, "prose": 0.7})
+    rows = mixing.mix_documents(docs, targets).collect()
+    assert len(rows) == docs.count()
+    weight = defaultdict(float)
+    for r in rows:
+        assert 0 <= r["probability"] <= 1
+        for k in ("source", "lang", "topic"):
+            weight[k, r[k]] += r["n_tokens"] * r["probability"]
+    for k, target in (("source", targets.source), ("lang", targets.lang), ("topic", targets.topic)):
+        total = sum(v for (kind, _), v in weight.items() if kind == k)
+        for category, share in target.items():
+            assert abs(weight[k, category] / total - share) < 1e-6
+    assert abs(max(r["probability"] for r in rows) - 1) < 1e-12
+    expected = sum(r["probability"] for r in rows)
+    assert abs(sum(r["selected"] for r in rows) - expected) < 4 * np.sqrt(expected)
+    assert len({r["selected"] for r in rows if r["doc_id"] == 7 and r["n_tokens"] == 2}) == 1
+    again = {(r["doc_id"], r["n_tokens"]): r["selected"] for r in mixing.mix_documents(docs.repartition(9), targets).collect()}
+    assert all(again[r["doc_id"], r["n_tokens"]] == r["selected"] for r in rows)
+
+
+def test_powers(spark, docs):
+    rows = mixing.mix_documents(docs).collect()
+    mass, fitted = defaultdict(float), defaultdict(float)
+    for r in rows:
+        mass[r["source"]] += r["n_tokens"]
+        fitted[r["source"]] += r["n_tokens"] * r["probability"]
+    total, want = sum(mass.values()), {k: v**0.7 for k, v in mass.items()}
+    for k, v in fitted.items():
+        assert abs(v / sum(fitted.values()) - want[k] / sum(want.values())) < 1e-6
+    assert total > 0
+
+
+def test_sample_and_empty(spark, docs):
+    out = mixing.sample_documents(docs)
+    assert out.columns == docs.columns and 0 < out.count() < docs.count()
+    assert mixing.mix_documents(docs.limit(0)).count() == 0 and mixing.sample_documents(docs.limit(0)).count() == 0
+    nulls = spark.createDataFrame([(1, None, None, None)], docs.select("doc_id", "text", "lang", "source").schema)
+    assert mixing.mix_documents(nulls).count() == 1
