@@ -80,3 +80,11 @@ def test_bands_estimate_similarity():
         keys = M.signatures(np.concatenate([common, a, common, b]), np.array([0, 900, 1800]), 40, 5)
         hits.append((keys[0] == keys[1]).mean())
     assert abs(np.mean(hits) - 0.8**5) < 0.06
+
+
+def test_sketches_estimate_similarity():
+    rng = np.random.default_rng(2)
+    common, a, b = (rng.integers(1, 2**62, n).astype(np.uint64) for n in (1700, 150, 150))
+    sketch = M.sketches(np.concatenate([common, a, common, b]), np.array([0, 1850, 3700])).view(np.uint64)
+    differ = sum(int(x ^ y).bit_count() for x, y in zip(sketch[0].tolist(), sketch[1].tolist(), strict=True))
+    assert abs(1 - 2 * differ / M.SKETCH_BITS - 0.85) < 0.12
