@@ -27,12 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .token_counts import load, model_file, pre_tokens
+from .token_counts import chunks, load, model_file, pre_tokens
 
 HELD = 400_000
 #: Chunks in which a pre-token must have come to be held on when the others are dropped.
@@ -408,20 +407,11 @@ def _encoder(vocabulary: Vocabulary) -> Encoder:
     return _held[0]
 
 
-def _chunks(column: pa.Array) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with some CHUNK bytes of text each."""
-    if not len(column):
-        return
-    part = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // CHUNK
-    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(column)]
-    yield from zip(edges[:-1], edges[1:], strict=True)
-
-
 def _encode_batches(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
     encoder = _encoder(sent.value)
     for batch in batches:
         column = batch.column(batch.schema.get_field_index("_text"))
-        for a, b in _chunks(column):
+        for a, b in chunks(column, CHUNK):
             ids, counts = encoder.encode([t or "" for t in column.slice(a, b - a).to_pylist()])
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(ids))
             rest = batch.slice(a, b - a).drop_columns(["_text"])
@@ -442,7 +432,7 @@ def _round_trip(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBa
     v = sent.value
     encoder = _encoder(v)
     for batch in batches:
-        for a, b in _chunks(batch.column(1)):
+        for a, b in chunks(batch.column(1), CHUNK):
             texts = batch.column(1).slice(a, b - a).to_pylist()
             ids, counts = encoder.encode(texts)
             back = decode_ids(v, ids, counts)

@@ -24,18 +24,22 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage_table, text_of
 
-HOT_SHARE = 600_000
+HOT_SHARE = 350_000
 KEY_CHARS = 48
 OVER_LIMIT = 4096
 #: Distinct pre-tokens a task holds before it passes them on.
-HELD = 300_000
+HELD = 120_000
+#: Bytes of text that a task turns into Python objects at once.
+CHUNK = 1_000_000
 _RUN = re.compile(" +[^ ]*")
 _SPACE = "▁"
 
@@ -72,6 +76,15 @@ def load(path: str):
     return model
 
 
+def chunks(column: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with some `size` bytes of text each."""
+    if not len(column):
+        return
+    part = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // size
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(column)]
+    yield from zip(edges[:-1], edges[1:], strict=True)
+
+
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: Counter[str] = Counter()
 
@@ -83,10 +96,11 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return batch
 
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            seen.update(set(pre_tokens(text)))
-            if len(seen) > HELD:
-                yield out()
+        for a, b in chunks(batch.column(0)):
+            for text in batch.column(0).slice(a, b - a).to_pylist():
+                seen.update(set(pre_tokens(text)))
+                if len(seen) > HELD:
+                    yield out()
     if seen:
         yield out()
 
@@ -101,29 +115,25 @@ def _count_pieces(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.R
 
 def _sum_hot(batches: Iterator[pa.RecordBatch], hot: Broadcast) -> Iterator[pa.RecordBatch]:
     known = hot.value
-    names = ["doc_id", "digest", "n_bytes", "key", "n"]
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("n_bytes", pa.int64()), ("key", pa.string()), ("n", pa.int64())])
     for batch in batches:
-        ids, digests, sizes, keys, counts = [], [], [], [], []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            raw = text.encode()
-            digest, total, rest = int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True), 0, []
-            for token in pre_tokens(text):
-                n = known.get(token)
-                if n is None:
-                    rest.append(token)
-                else:
-                    total += n
-            cold = [(key_of(token), n) for token, n in Counter(rest).items()]
-            ids += [doc] * (1 + len(cold))
-            digests += [digest] * (1 + len(cold))
-            sizes += [len(raw)] + [None] * len(cold)
-            keys += [f"\x01{doc} {digest}"] + [k for k, _ in cold]  # the key of the sum itself matches no pre-token, and is dealt evenly
-            counts += [total] + [n for _, n in cold]
-            if len(ids) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.string()), pa.array(counts, pa.int64())], names=names)
-                ids, digests, sizes, keys, counts = [], [], [], [], []
-        if ids:
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.string()), pa.array(counts, pa.int64())], names=names)
+        for a, b in chunks(batch.column(1)):
+            rows: list[list] = [[] for _ in schema]
+            for doc, text in zip(batch.column(0).slice(a, b - a).to_pylist(), batch.column(1).slice(a, b - a).to_pylist(), strict=True):
+                raw = text.encode()
+                digest, total, rest = int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True), 0, []
+                for token in pre_tokens(text):
+                    n = known.get(token)
+                    if n is None:
+                        rest.append(token)
+                    else:
+                        total += n
+                cold = Counter(rest)
+                # The key of the sum itself matches no pre-token, and is dealt evenly.
+                for column, first, others in zip(rows, (doc, digest, len(raw), f"\x01{doc} {digest}", total), ([doc] * len(cold), [digest] * len(cold), [None] * len(cold), map(key_of, cold), cold.values()), strict=True):
+                    column.append(first)
+                    column.extend(others)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
 
 
 def count_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", limit: int = OVER_LIMIT) -> DataFrame:
