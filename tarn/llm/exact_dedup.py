@@ -143,11 +143,11 @@ def dedup_documents(docs: DataFrame) -> DataFrame:
 def drop_copies(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents without exact copies, all columns kept: one row of each text stays, that with the largest doc_id."""
     columns = docs.columns
-    marked = docs.withColumn("_digest", F.unhex(F.sha2(text_of(text_col), 256)))
+    marked = docs.withColumn("__tarn_digest", F.unhex(F.sha2(text_of(text_col), 256)))
     found = exact_dedup(docs, text_col=text_col)
-    won = found.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_d"), "copies")
-    out = marked.join(won, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_d")), "inner")
+    won = found.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("__tarn_id"), F.col("digest").alias("__tarn_d"), F.col("copies").alias("__tarn_copies"))
+    out = marked.join(won, F.col("doc_id").cast("long").eqNullSafe(F.col("__tarn_id")) & (F.col("__tarn_digest") == F.col("__tarn_d")), "inner")
     # Identical rows of the winner itself: of these one stays, whichever comes first.
-    once, tied = out.filter("copies = 1"), out.filter("copies > 1")
-    tied = tied.groupBy("_digest").agg(F.any_value(F.struct(*columns)).alias("r")).select("r.*")
+    once, tied = out.filter("__tarn_copies = 1"), out.filter("__tarn_copies > 1")
+    tied = tied.groupBy("__tarn_digest").agg(F.any_value(F.struct(*columns)).alias("r")).select("r.*")
     return once.select(*columns).unionByName(tied)

@@ -263,6 +263,8 @@ def near_dedup_documents(docs: DataFrame, width: int = 3, percent: int = 85) ->
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without near copies, all columns kept: of each group the document with the least doc_id stays."""
-    gone = near_duplicates(docs, width, percent).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """The documents without near copies, all columns kept: of each group the document with the least doc_id stays.
+
+    Rows that share an id stay or go together."""
+    gone = near_duplicates(docs, width, percent).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__tarn_gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("__tarn_gone"), "left_anti")

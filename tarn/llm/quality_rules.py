@@ -134,8 +134,8 @@ def clean_documents(docs: DataFrame, id_col: str = "doc_id", host_col: str = "so
 
     A verdict depends on host and text alone, so it is joined by these two."""
     judged = judge_rows(narrow_rows(docs, id_col, host_col, text_col)).filter("kept")
-    verdicts = judged.groupBy(F.col("host").alias("_host"), F.col("digest").alias("_digest")).agg(F.any_value("removed").alias("_removed"))
-    marked = docs.withColumns({"_h": F.col(host_col).cast("string"), "_d": _digest(text_of(text_col))})
-    out = marked.join(verdicts, F.col("_h").eqNullSafe(F.col("_host")) & (F.col("_d") == F.col("_digest")))
-    rest = F.filter(F.split(text_col, "\n"), lambda line: ~F.array_contains(F.col("_removed"), line_key(line)))
-    return out.withColumn(text_col, F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(F.array_join(rest, "\n"))).select(*docs.columns)
+    verdicts = judged.groupBy(F.col("host").alias("__tarn_host"), F.col("digest").alias("__tarn_digest")).agg(F.any_value("removed").alias("__tarn_removed"))
+    marked = docs.withColumns({"__tarn_h": F.col(host_col).cast("string"), "__tarn_d": _digest(text_of(text_col))})
+    out = marked.join(verdicts, F.col("__tarn_h").eqNullSafe(F.col("__tarn_host")) & (F.col("__tarn_d") == F.col("__tarn_digest")))
+    rest = F.filter(F.split(text_col, "\n"), lambda line: ~F.array_contains(F.col("__tarn_removed"), line_key(line)))
+    return out.withColumn(text_col, F.when(F.col("__tarn_removed").isNull(), F.col(text_col)).otherwise(F.array_join(rest, "\n"))).select(*docs.columns)

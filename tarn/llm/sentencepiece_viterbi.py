@@ -410,20 +410,20 @@ def _encoder(vocabulary: Vocabulary) -> Encoder:
 def _encode_batches(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
     encoder = _encoder(sent.value)
     for batch in batches:
-        column = batch.column(batch.schema.get_field_index("_text"))
+        column = batch.column(batch.schema.get_field_index("__tarn_text"))
         for a, b in chunks(column, CHUNK):
             ids, counts = encoder.encode([t or "" for t in column.slice(a, b - a).to_pylist()])
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(ids))
-            rest = batch.slice(a, b - a).drop_columns(["_text"])
+            rest = batch.slice(a, b - a).drop_columns(["__tarn_text"])
             yield pa.RecordBatch.from_arrays([*rest.columns, lists], names=[*rest.schema.names, "token_ids"])
 
 
 def _decode_batches(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        lists = batch.column(batch.schema.get_field_index("_ids"))
+        lists = batch.column(batch.schema.get_field_index("__tarn_ids"))
         counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
         texts = decode_ids(sent.value, lists.flatten().to_numpy(zero_copy_only=False), counts)
-        rest = batch.drop_columns(["_ids"])
+        rest = batch.drop_columns(["__tarn_ids"])
         yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(texts, pa.string())], names=[*rest.schema.names, "decoded"])
 
 
@@ -445,16 +445,16 @@ def _round_trip(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBa
 def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """docs (or its columns `keep`) with token_ids array<int>."""
     sent = docs.sparkSession.sparkContext.broadcast(Vocabulary(path or model_file()))
-    rows = docs.select(*[c for c in (docs.columns if keep is None else keep) if c != "token_ids"], F.col(text_col).alias("_text"))
-    schema = rows.drop("_text").schema.add("token_ids", T.ArrayType(T.IntegerType()))
+    rows = docs.select(*[c for c in (docs.columns if keep is None else keep) if c != "token_ids"], F.col(text_col).alias("__tarn_text"))
+    schema = rows.drop("__tarn_text").schema.add("token_ids", T.ArrayType(T.IntegerType()))
     return rows.mapInArrow(lambda it: _encode_batches(it, sent), schema)
 
 
 def decode(rows: DataFrame, ids_col: str = "token_ids", path: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """rows (or its columns `keep`) with decoded string."""
     sent = rows.sparkSession.sparkContext.broadcast(Vocabulary(path or model_file()))
-    rows = rows.select(*[c for c in (rows.columns if keep is None else keep) if c != "decoded"], F.col(ids_col).alias("_ids"))
-    schema = rows.drop("_ids").schema.add("decoded", T.StringType())
+    rows = rows.select(*[c for c in (rows.columns if keep is None else keep) if c != "decoded"], F.col(ids_col).alias("__tarn_ids"))
+    schema = rows.drop("__tarn_ids").schema.add("decoded", T.StringType())
     return rows.mapInArrow(lambda it: _decode_batches(it, sent), schema)
 
 

@@ -59,7 +59,7 @@ def test_empty(spark):
 
 def test_drop_near_copies(spark):
     base = text(80)
-    docs = spark.createDataFrame([(3, base, "a"), (7, edited(base, 0.01), "b"), (8, text(80), "c"), (9, None, "d")], "doc_id long, text string, source string")
+    docs = spark.createDataFrame([(3, base, "a"), (7, edited(base, 0.01), "b"), (8, text(80), "c"), (9, None, "d")], "doc_id long, text string, source string").withColumns({"component_id": F.lit(0), "cls": F.lit(1), "_gone": F.lit(2)})
     out = M.drop_near_copies(docs)
     assert out.columns == docs.columns and sorted(x["doc_id"] for x in out.collect()) == [3, 8, 9]
 

@@ -57,7 +57,7 @@ def test_depleted(spark):
 
 
 def test_clean_documents(spark):
-    docs = spark.createDataFrame([(*r, None) for r in corpus()] + [(None, "tiny", None, None)], "doc_id long, text string, source string, n_chars long")
+    docs = spark.createDataFrame([(*r, None) for r in corpus()] + [(None, "tiny", None, None)], "doc_id long, text string, source string, n_chars long").withColumns({"host": F.lit("x"), "digest": F.lit("y"), "removed": F.lit(0), "key": F.lit(1)})
     out = Q.clean_documents(docs)
     assert out.columns == docs.columns
     rows = {r["doc_id"]: r["text"] for r in out.collect()}
