@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import stage_table, text_of
 
-HOT_SHARE = 350_000
+HOT_SHARE = 700_000
 KEY_CHARS = 48
 OVER_LIMIT = 4096
 #: Distinct pre-tokens a task holds before it passes them on.
