@@ -37,6 +37,11 @@ def stage_table(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Shuffle files of finished plans go when the driver's JVM collects what refers to them; ask it to do so now."""
+    spark._jvm.System.gc()
+
+
 def _drop_staged() -> None:
     for spark, path in _staged:
         try:

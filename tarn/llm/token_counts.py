@@ -31,9 +31,9 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage_table, text_of
+from .common import release_shuffles, stage_table, text_of
 
-HOT_SHARE = 700_000
+HOT_SHARE = 350_000
 KEY_CHARS = 48
 OVER_LIMIT = 4096
 #: Distinct pre-tokens a task holds before it passes them on.
@@ -142,6 +142,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     distinct = rows.select("text").mapInArrow(_distinct, "key string, pre_token string, documents long").groupBy("key").agg(F.any_value("pre_token").alias("pre_token"), F.sum("documents").alias("documents"))
     pieces = stage_table(distinct.mapInArrow(lambda it: _count_pieces(it, path), "key string, documents long, pieces long"), "token-pieces")
+    release_shuffles(spark)
     pairs = pieces.agg(F.sum("documents")).first()[0] or 0
     # At most HOT_SHARE rows pass, as their documents add up to no more than all pairs.
     hot = pieces.filter((F.col("documents") * HOT_SHARE > pairs) & ~F.startswith("key", F.lit("\x00"))).select("key", "pieces").toArrow()
