@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, stage_table, text_of, words_of
+from .common import WORD, let, stage_table, text_of, words_of
 
 MIN_DOCUMENTS = 10
 MAX_SHARE = 0.08
@@ -28,8 +28,6 @@ KEEP_SHARE = 0.3
 MIN_WORDS = 20
 MAX_REPEATED_PERCENT = 30
 WINDOW = 8
-SPACES = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
 
 
 def repeated_words(words: Column, width: int = WINDOW) -> Column:
@@ -48,7 +46,7 @@ def repeated_words(words: Column, width: int = WINDOW) -> Column:
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), 0).otherwise(let(placed, covered))
 
     def windows(w: Column) -> Column:
-        hashes = F.transform(F.sequence(F.lit(1), F.size(w) - (width - 1)), lambda i: F.xxhash64(F.slice(w, i, width)))
+        hashes = F.transform(F.sequence(F.lit(1), F.size(w) - (width - 1)), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(-1, width - 1)]))
         return F.when(F.size(w) <= width, 0).otherwise(let(hashes, judged))
 
     return let(words, windows)
@@ -56,33 +54,45 @@ def repeated_words(words: Column, width: int = WINDOW) -> Column:
 
 def lines_of(text: Column) -> Column:
     """The lines that have a word."""
-    return F.filter(F.split(text, "\n"), lambda line: F.length(F.translate(line, SPACES, "")) > 0)
+    return F.filter(F.split(text, "\n"), lambda line: line.rlike(WORD))
 
 
-def line_key(line: Column) -> Column:
-    normal = F.lower(F.trim(F.regexp_replace(F.regexp_replace(line, r"[0-9]+", "0"), r"\s+", " ")))
+def _normal(line: Column) -> Column:
+    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(line, r"[0-9]+", "0"), r"\s+", " ")))
+
+
+def _key(normal: Column) -> Column:
     return F.struct(F.xxhash64(normal).alias("h1"), F.hash(normal).alias("h2"))
 
 
-def _word_count(line: Column) -> Column:
-    return F.size(words_of(line))
+def line_key(line: Column) -> Column:
+    return let(_normal(line), _key)
+
+
+def _keyed(line: Column) -> Column:
+    """Key and words of a line that has a word; in its normal form one space stands between two words."""
+    words = lambda normal: F.octet_length(normal) - F.octet_length(F.replace(normal, F.lit(" "), F.lit(""))) + 1
+    return let(_normal(line), lambda normal: F.struct(_key(normal).alias("key"), words(normal).alias("words")))
 
 
 def _digest(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def measures(text: Column) -> dict[str, Column]:
-    solid = F.length(F.translate(text, SPACES, ""))
-    lines = lines_of(text)
-    words = words_of(text)
-    return {
-        "n_words": F.size(words).cast("long"),
-        "word_chars": solid.cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-        "n_repeat_words": repeated_words(words).cast("long"),
-    }
+def measures(text: Column) -> Column:
+    """The counts of a text as a struct; its words are taken once."""
+    lines = lambda some: F.size(some) - F.size(F.array_distinct(some))
+    symbols = F.octet_length(text) - F.octet_length(F.regexp_replace(text, r"[#*$%&|<>]+", ""))  # of one byte each
+    return let(
+        words_of(text),
+        lambda words: F.struct(
+            F.size(words).cast("long").alias("n_words"),
+            F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
+            symbols.cast("long").alias("n_symbols"),
+            let(lines_of(text), lines).cast("long").alias("n_dup_lines"),
+            repeated_words(words).cast("long").alias("n_repeat_words"),
+        ),
+    )
 
 
 def narrow_rows(docs: DataFrame, id_col: str, host_col: str, text_col: str) -> DataFrame:
@@ -94,9 +104,9 @@ def narrow_rows(docs: DataFrame, id_col: str, host_col: str, text_col: str) -> D
             "doc_id",
             "host",
             _digest(F.col("text")).alias("digest"),
-            *(c.alias(k) for k, c in measures(F.col("text")).items()),
-            F.transform(lines_of(F.col("text")), lambda line: F.struct(line_key(line).alias("key"), _word_count(line).alias("words"))).alias("lines"),
-        ),
+            measures(F.col("text")).alias("m"),
+            F.transform(lines_of(F.col("text")), _keyed).alias("lines"),
+        ).select("doc_id", "host", "digest", "m.*", "lines"),
         "quality-rows",
     )
 
