@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,8 +40,13 @@ def stage_table(df: DataFrame, label: str) -> DataFrame:
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    """Shuffle files of finished plans go when the driver's JVM collects what refers to them; ask it to do so now."""
-    spark._jvm.System.gc()
+    """Shuffle files of finished plans go when the driver collects what refers to them; ask it to do so now.
+
+    Python lets go of its handles first, and what they held is collected by the JVM a round later."""
+    for _ in range(3):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def _drop_staged() -> None:
