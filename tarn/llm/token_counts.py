@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import release_shuffles, stage_table, text_of
 
-HOT_SHARE = 400_000
+HOT_SHARE = 600_000
 KEY_CHARS = 48
 OVER_LIMIT = 4096
 #: Distinct pre-tokens a task holds before it passes them on.
