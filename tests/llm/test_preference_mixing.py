@@ -105,6 +105,17 @@ def test_powers(spark, docs):
     assert total > 0
 
 
+def test_few_documents_do_not_set_the_scale(spark):
+    rows = [(k, "word " * 200 + ("|" * 6 if k % 5 == 0 else ""), "en" if k % 4 else "de", f"s{k % 20}") for k in range(8000)]
+    few = [(8000, "a word", "en", None), (8001, "a word", "xx", "s3"), (8002, "a b #", None, "rare")]
+    table = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    before = {r["doc_id"]: r["probability"] for r in mixing.mix_documents(table(rows)).collect()}
+    for extra in (few[:1], few):
+        after = {r["doc_id"]: r["probability"] for r in mixing.mix_documents(table(rows + extra)).collect()}
+        assert all(abs(after[k] - p) < 1e-3 for k, p in before.items())
+        assert all(0 < after[r[0]] <= 1 for r in extra)
+
+
 def test_sample_and_empty(spark, docs):
     out = mixing.sample_documents(docs)
     assert out.columns == docs.columns and 0 < out.count() < docs.count()
