@@ -9,13 +9,14 @@ go from the hub to the other classes: a star, not all pairs. Each class is compa
 shingle sets. In a group of copies of one text that text is the hub, so the group is linked by about one edge a class.
 
 A star alone would lose a link between two classes that are both unlike the hub. Buckets whose classes are still in more
-than one component are therefore looked at again, and there an exact bound decides: a shingle that no other class in these
-buckets has is in no intersection, so of n shingles with u such, no more than n - u can be common. Classes that can reach
-the similarity with nobody drop out; of the others, classes of different components in one of the first LAST_BANDS bands
-that the bound lets pass are compared as the condition of the join, so only links leave it; a sketch of SKETCH_BITS one-bit
-minima spares most pairs that are too unlike the full comparison (it fails a linked pair with a probability of 3e-6). A pair at the least similarity
-shares none of these bands with a probability of 1e-5 (0.85, by 20 bands of 5 rows) or 4e-4 (0.8), and of 1e-10 or 1e-7
-none of all bands.
+than one component are therefore looked at again, GROUP_BANDS bands at a time and all of them in the end, each group with
+the components that the one before left. There an exact bound decides: a shingle that no other class in these buckets has
+is in no intersection, so of n shingles with u such, no more than n - u can be common. Classes that can reach the
+similarity with nobody drop out; of the others, classes of different components in one bucket that the bound lets pass are
+compared as the condition of the join, so only links leave it; a sketch of SKETCH_BITS one-bit minima spares most pairs that
+are too unlike the full comparison. It fails a linked pair with a probability of 3e-6, so each group has a sketch of its own,
+which gives the pair another chance; a single group has none. A pair at the least similarity shares no band with a
+probability of 1e-10 (0.85, by 40 bands of 5 rows) or 1e-7 (0.8).
 
 Shingles are 64-bit hashes. Links and components are tables; labels are propagated with pointer jumping, and each round
 is staged in the shared folder. Nothing but counts comes to the driver.
@@ -40,8 +41,8 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, let, stage_table, text_of, words_of
 
 BANDS, ROWS = 40, 5
-#: Bands that are looked at again for links beside the stars.
-LAST_BANDS = 20
+#: Bands that are looked at again at once for links beside the stars.
+GROUP_BANDS = 20
 SKETCH_BITS = 512
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -123,9 +124,9 @@ def _key_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cls, pa.binary()), batch.column(1)], names=["want", "cls", "sh"])
 
 
-def sketches(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A bit of the minimum under each of SKETCH_BITS hash functions, packed into longs, one row for each set."""
-    a = _mix(np.arange(1, SKETCH_BITS + 1, dtype=np.uint64)) | np.uint64(1)
+def sketches(hashes: np.ndarray, offsets: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A bit of the minimum under each of SKETCH_BITS hash functions of the seed, packed into longs, one row for each set."""
+    a = _mix(np.arange(1, SKETCH_BITS + 1, dtype=np.uint64) + np.uint64(seed * SKETCH_BITS)) | np.uint64(1)
     bits = np.zeros((len(offsets) - 1, SKETCH_BITS), bool)
     for k, (start, end) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
         low = np.full(SKETCH_BITS, _EMPTY)
@@ -138,9 +139,9 @@ def sketches(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1).view(np.int64)
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketch(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        made = sketches(*_flat(batch.column(1)))
+        made = sketches(*_flat(batch.column(1)), seed)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, made.size + 1, made.shape[1], dtype=np.int32)), pa.array(made.ravel()))
         yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=["cls", "sh", "sketch"])
 
@@ -201,28 +202,36 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: i
     compared = stage_table(star.filter(_possible("n", "hub.n", percent)).select(F.least("hub.cls", "cls").alias("a"), F.greatest("hub.cls", "cls").alias("b")).distinct(), "minhash-pairs")
     labels = _components(_confirmed(compared, sets, percent))
 
-    mixed = stage_table(_mixed(buckets.filter(F.col("band") < LAST_BANDS).select("bucket", "cls", "n"), labels), "minhash-open")
+    for first in range(0, bands, GROUP_BANDS):
+        group = buckets.filter(F.col("band").between(first, first + GROUP_BANDS - 1)).select("bucket", "cls", "n")
+        labels = _looked_again(group, sets, labels, percent, first // GROUP_BANDS if bands > GROUP_BANDS else None)
+    least = signed.groupBy("cls").agg(F.min("doc_id").alias("first")).join(labels, "cls")
+    roots = least.groupBy("root").agg(F.min("first").alias("component"))
+    component = labels.join(roots, "root").select("cls", "component")
+    same = signed.groupBy("cls").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("cls", "first")
+    ids = component.join(same, "cls", "full_outer").select("cls", F.coalesce("component", "first").alias("id"))
+    out = signed.select("doc_id", "n", "cls").join(ids, "cls", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "cls", F.when(F.col("n") > 0, F.coalesce("id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _looked_again(group: DataFrame, sets: DataFrame, labels: DataFrame, percent: int, seed: int | None) -> DataFrame:
+    """labels after the links between classes of different components that share a bucket; without a seed no sketch is used."""
+    mixed = stage_table(_mixed(group, labels), "minhash-open")
     alone = _unshared(sets.join(mixed.select("cls").distinct(), "cls", "left_semi"))
     rest = mixed.select("bucket", "cls", "n").join(alone, F.xxhash64("cls") == F.col("cls_hash"), "left").withColumn("c", F.col("n") - F.coalesce("alone", F.lit(0)))
     rest = rest.filter(F.col("c") * 100 >= F.col("n") * percent).select("bucket", "cls", "n", "c")
     rest = stage_table(_mixed(rest, labels), "minhash-open")
-    sketched = sets.join(rest.select("cls").distinct(), "cls", "left_semi").select("cls", "sh").mapInArrow(_sketch, "cls binary, sh array<long>, sketch array<long>")
-    rest = rest.join(sketched, "cls").select("bucket", "cls", "n", "c", "root", "sh", "sketch")
-    other = rest.select("bucket", *(F.col(k).alias(f"{k}_b") for k in ("cls", "n", "c", "root", "sh", "sketch")))
+    held = sets.join(rest.select("cls").distinct(), "cls", "left_semi").select("cls", "sh")
+    sketched = held if seed is None else held.mapInArrow(lambda it: _sketch(it, seed), "cls binary, sh array<long>, sketch array<long>")
+    rest = rest.join(sketched, "cls").select("bucket", "n", "c", "root", *sketched.columns)
+    other = rest.select("bucket", *(F.col(k).alias(f"{k}_b") for k in rest.columns if k != "bucket"))
     common = F.least("c", "c_b")
     reaches = lambda i: i * 100 >= (F.col("n") + F.col("n_b") - i) * percent
-    linked = (F.col("cls") < F.col("cls_b")) & (F.col("root") != F.col("root_b")) & reaches(common) & _alike(percent) & reaches(F.size(F.array_intersect("sh", "sh_b")))
+    likely = reaches(common) if seed is None else reaches(common) & _alike(percent)
+    linked = (F.col("cls") < F.col("cls_b")) & (F.col("root") != F.col("root_b")) & likely & reaches(F.size(F.array_intersect("sh", "sh_b")))
     links = rest.join(other, "bucket").filter(linked).select(F.col("cls").alias("a"), F.col("cls_b").alias("b"))
     links = stage_table(links.groupBy("a", "b").agg(F.lit(1).alias("one")).drop("one"), "minhash-links")
-    if links.limit(1).count():
-        labels = _merged(labels, links)
-    least = signed.groupBy("cls").agg(F.min("doc_id").alias("first")).join(labels, "cls")
-    roots = least.groupBy("root").agg(F.min("first").alias("component"))
-    component = labels.join(roots, "root").select("cls", "component")
-    same = signed.groupBy("cls").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("cls", "first")
-    ids = component.join(same, "cls", "full_outer").select("cls", F.coalesce("component", "first").alias("id"))
-    out = signed.select("doc_id", "n", "cls").join(ids, "cls", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "cls", F.when(F.col("n") > 0, F.coalesce("id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return _merged(labels, links) if links.limit(1).count() else labels
 
 
 def _possible(n: str, m: str, percent: int) -> Column:

@@ -46,6 +46,28 @@ def test_brute_force(spark, width, percent):
         assert x["kept"] == (x["doc_id"] == x["component_id"])
 
 
+def test_all_bands_are_looked_at_again(spark):
+    """With many rows a band, linked pairs beside the stars often share later bands only."""
+    own, bands, rows, percent = random.Random(8), 40, 60, 95
+    texts = []
+    for _ in range(60):
+        words = lambda n: [f"u{own.randrange(10**9)}" for _ in range(n)]
+        hub, both = words(400), words(14)
+        texts += [hub, *([*hub, f"e{k}"] for k in range(4)), *([*hub, *both, *words(9)] for _ in range(2))]  # 0.945 to the hub, 0.958 to one another
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    sets = [x["sh"] for x in docs.select("doc_id", M.shingles(F.col("text"), 3).alias("sh")).orderBy("doc_id").collect()]
+    keys = M.signatures(np.array([h for s in sets for h in s], np.int64).view(np.uint64), np.cumsum([0, *map(len, sets)]), bands, rows)
+    root = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a // 7 * 7, a):
+            common = len(set(sets[a]) & set(sets[b]))
+            if (keys[a] == keys[b]).any() and common * 100 >= (len(sets[a]) + len(sets[b]) - common) * percent:
+                low, high = sorted((root[a], root[b]))
+                root = [low if x == high else x for x in root]
+    got = {x["doc_id"]: x["component_id"] for x in M.near_duplicates(docs, 3, percent, bands, rows).collect()}
+    assert got == dict(enumerate(root))
+
+
 def test_repeated_rows_and_null_ids(spark):
     base = text(60)
     docs = spark.createDataFrame([(5, base), (5, base), (4, base), (None, base), (None, "alone in the world"), (9, None)], "doc_id long, text string")
