@@ -9,8 +9,9 @@ pre-tokens. A pre-token is written without the first space of its run, which is
 2. Pre-tokens in more than 1 of HOT_SHARE of all (document, pre-token) pairs are at most HOT_SHARE in number, whatever the
    corpus; with keys of at most KEY_CHARS characters they are a table of proven size, which is broadcast. In the second
    pass each document sums those at once and emits only the others as (document, pre-token, frequency).
-   A document goes by its id and 4 bytes of a digest, which keeps the rows narrow; two texts of one id with the same 4
-   bytes are noticed by the whole digest, and fail the job rather than add up (another seed then tells them apart).
+   A document goes by its id and 8 bytes of a digest, which tell apart any number of texts with a null or repeated id (of
+   10 million of one id, two are alike with a probability of 3e-6). Such two would be noticed by 8 more bytes, and fail
+   the job rather than add up; another seed tells them apart.
 3. These rows are joined to the counts and summed. No key of that join has more than its 1 / HOT_SHARE share of the rows.
 No ids are materialised at any point, only counts.
 
@@ -117,14 +118,15 @@ def _count_pieces(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.R
 
 def _sum_hot(batches: Iterator[pa.RecordBatch], hot: Broadcast, seed: int) -> Iterator[pa.RecordBatch]:
     known = hot.value
-    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.int32()), ("whole", pa.int64()), ("n_bytes", pa.int64()), ("key", pa.string()), ("n", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("whole", pa.int64()), ("n_bytes", pa.int64()), ("key", pa.string()), ("n", pa.int64())])
     for batch in batches:
         for a, b in chunks(batch.column(1)):
             rows: list[list] = [[] for _ in schema]
             for doc, text in zip(batch.column(0).slice(a, b - a).to_pylist(), batch.column(1).slice(a, b - a).to_pylist(), strict=True):
                 raw = text.encode()
-                whole = int.from_bytes(hashlib.blake2b(raw, digest_size=8, salt=seed.to_bytes(8)).digest(), "little", signed=True)
-                digest, total, rest = whole >> 32, 0, []
+                both = hashlib.blake2b(raw, digest_size=16, salt=seed.to_bytes(8)).digest()
+                digest, whole = (int.from_bytes(b, "little", signed=True) for b in (both[:8], both[8:]))
+                total, rest = 0, []
                 for token in pre_tokens(text):
                     n = known.get(token)
                     if n is None:
@@ -150,9 +152,9 @@ def count_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
     # At most HOT_SHARE rows pass, as their documents add up to no more than all pairs.
     hot = pieces.filter((F.col("documents") * HOT_SHARE > pairs) & ~F.startswith("key", F.lit("\x00"))).select("key", "pieces").toArrow()
     held = spark.sparkContext.broadcast(dict(zip(hot["key"].to_pylist(), hot["pieces"].to_pylist(), strict=True)))
-    parts = rows.mapInArrow(lambda it: _sum_hot(it, held, seed), "doc_id long, digest int, whole long, n_bytes long, key string, n long")
+    parts = rows.mapInArrow(lambda it: _sum_hot(it, held, seed), "doc_id long, digest long, whole long, n_bytes long, key string, n long")
     joined = parts.join(pieces.select("key", "pieces"), "key", "left")
     # Rows that are equal in id and text add up together; each of them has the same share of the sums.
     summed = joined.groupBy("doc_id", "digest").agg(F.sum(F.col("n") * F.coalesce("pieces", F.lit(1))).alias("total"), F.max("n_bytes").alias("n_bytes"), F.count("n_bytes").alias("copies"), F.min("whole").alias("low"), F.max("whole").alias("high"))
-    summed = summed.withColumn("copies", F.when(F.col("low") == F.col("high"), F.col("copies")).otherwise(F.raise_error(F.lit("two texts of one id share a short digest; give another seed")).cast("long")))
+    summed = summed.withColumn("copies", F.when(F.col("low") == F.col("high"), F.col("copies")).otherwise(F.raise_error(F.lit("two texts of one id share a digest; give another seed")).cast("long")))
     return summed.select("n_bytes", "doc_id", F.expr("total div copies").alias("n_tokens"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -1,5 +1,6 @@
 """Token counts, and SentencePiece encoding and decoding."""
 
+import hashlib
 import random
 import zlib
 
@@ -40,6 +41,20 @@ def test_counts(spark, library, monkeypatch):
     assert C.count_tokens(docs.limit(0)).count() == 0
 
 
+def test_many_texts_of_one_id(spark, library):
+    """Two texts that four bytes of a digest don't tell apart."""
+    seen, alike = {}, None
+    for k in range(1_000_000):
+        short = hashlib.blake2b(f"text {k}".encode(), digest_size=8, salt=bytes(8)).digest()[4:]
+        if short in seen:
+            alike = [f"text {seen[short]}", f"text {k}"]
+            break
+        seen[short] = k
+    rows = [(d, t) for d in (None, 5) for t in [*alike, alike[0]]]
+    got = C.count_tokens(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(((d, len(t), len(library.encode(t)), False) for d, t in rows), key=repr)
+
+
 def test_encoding_is_the_librarys(library, vocabulary):
     encoder = V.Encoder(vocabulary)
     texts = [t or "" for t in TEXTS]
