@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and a randomness test battery with length-aware false-discovery control.
 
 Patterns find `assign`, `access` and `hex` spans. The battery judges every run of 20 or more characters of
-[A-Za-z0-9+/_-] that has two digits (and both cases, if it is neither hex nor base32): an encoding is inferred (hex, base32, base64), and the run is tested for
+[A-Za-z0-9+/_-]: an encoding is inferred (hex, base32 and base36 of one case, with - and _ as separators that don't count;
+else base64; folded32 is base32 of lower case or letters only, where prose of one case is found), and the run is tested for
  - uniformity: Pearson's chi-squared over the alphabet of the encoding. Under prose it has a noncentrality that grows with
    the length (PROSE_EXCESS per character), so the lower tail of that distribution is the p-value of `no secret`;
  - runs: Wald-Wolfowitz above and below the middle of the alphabet;
@@ -31,8 +32,8 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"  # AKIA[A-Z0-9]+ of 20 or more characters
 HEX = r"[0-9a-f]{24,}"  # [0-9a-f]+ of 24 or more characters
 
 RUN = r"[A-Za-z0-9+/_-]{20,}"
-ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
-PROSE_EXCESS = {"hex": 1.2, "base32": 1.5, "base64": 1.7}
+ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "folded32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base36": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+PROSE_EXCESS = {"hex": 1.2, "base32": 1.5, "folded32": 1.13, "base36": 1.4, "base64": 1.7}
 RANDOM_LEVEL = 0.001
 RATE = 0.01
 MAX_SCORE = 400
@@ -69,20 +70,25 @@ def normal_tail(z: Column) -> Column:
     return 1 / (1 + F.exp(F.least(F.lit(700.0), -(1.5976 * z + 0.070566 * z * z * z))))
 
 
+def _bare(run: Column) -> Column:
+    """The run without separators."""
+    return F.translate(run, "-_", "")
+
+
 def _encoding(run: Column) -> Column:
-    return F.when(run.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), "hex").when(run.rlike("^[A-Z2-7]+$"), "base32").otherwise("base64")
+    bare = _bare(run)
+    out = F.when(bare.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), "hex").when(bare.rlike("^[A-Z2-7]+$") & bare.rlike("[2-7].*[2-7]"), "base32")
+    return out.when(bare.rlike("^(?:[A-Z2-7]+|[a-z2-7]+)$"), "folded32").when(bare.rlike("^(?:[A-Z0-9]+|[a-z0-9]+)$"), "base36").otherwise("base64")
 
 
 def battery(run: Column) -> Column:
     """-10 log10 of the p-value of `no secret`, 0 to MAX_SCORE; 0 for a run that is no candidate."""
     total = lambda array, f: F.aggregate(array, F.lit(0.0), lambda acc, x: acc + f(x))
-    folded = F.translate(run, "-_", "+/")
-
     def setting(encoding: Column) -> Column:
-        pick = lambda values: F.when(encoding == "hex", values["hex"]).when(encoding == "base32", values["base32"]).otherwise(values["base64"])
+        pick = lambda values: F.when(encoding == "hex", values["hex"]).when(encoding == "base32", values["base32"]).when(encoding == "folded32", values["folded32"]).when(encoding == "base36", values["base36"]).otherwise(values["base64"])
         letters = pick({k: F.lit(v) for k, v in ALPHABETS.items()})
-        body = F.when(encoding == "hex", F.lower(folded)).otherwise(folded)
-        return F.struct(letters.alias("letters"), body.alias("body"), F.length(letters).cast("double").alias("k"), F.length(run).cast("double").alias("n"), pick({e: F.lit(v) for e, v in PROSE_EXCESS.items()}).alias("excess"))
+        body = pick({"hex": F.lower(_bare(run)), "base32": _bare(run), "folded32": F.upper(_bare(run)), "base36": F.upper(_bare(run)), "base64": F.translate(run, "-_", "+/")})
+        return F.struct(letters.alias("letters"), body.alias("body"), F.length(letters).cast("double").alias("k"), F.length(body).cast("double").alias("n"), pick({e: F.lit(v) for e, v in PROSE_EXCESS.items()}).alias("excess"))
 
     def uniform(s: Column) -> Column:
         squares = total(F.split(s.letters, ""), lambda c: F.pow(s.n - F.length(F.replace(s.body, c, F.lit(""))), F.lit(2.0)))
@@ -126,8 +132,7 @@ def battery(run: Column) -> Column:
         score = let(uniform(s), lambda z: F.floor(F.least(F.lit(float(MAX_SCORE)), -10 * F.log10(normal_tail(z)))))
         return F.when(let(sums(s), with_sums), F.greatest(score, F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long"))
 
-    likely = run.rlike("[0-9].*[0-9]") & ((_encoding(run) != "base64") | run.rlike("[a-z]") & run.rlike("[A-Z]"))
-    return F.when(likely, let(setting(_encoding(run)), judged)).otherwise(F.lit(0).cast("long")).cast("int")
+    return let(let(_encoding(run), setting), judged).cast("int")
 
 
 def stratum(length: Column) -> Column:

@@ -50,6 +50,28 @@ def test_random_keys_are_found_and_prose_is_not(spark):
     assert sum(got[k] > 0 for k in range(300)) <= 6
 
 
+def test_keys_of_one_case_are_found_and_prose_is_not(spark):
+    own = random.Random(6)
+    of = lambda letters, n: "".join(own.choice(letters) for _ in range(n))
+    low, high, digits = string.ascii_lowercase, string.ascii_uppercase, string.digits
+    kinds = {
+        "base36": lambda: of(low + digits, 48),
+        "upper base36": lambda: of(high + digits, 48),
+        "lower base32": lambda: of(low + "234567", 48),
+        "prefixed": lambda: "svc_" + of(low + digits, 48),
+        "separated hex": lambda: "-".join(of("0123456789abcdef", n) for n in (8, 4, 4, 4, 12, 8)),
+        "few digits": lambda: of(high + low, 48),
+    }
+    words = "the of and how to make best new guide for people with house garden from this year international market report about music travel before after local history".split()
+    prose = ["-".join(own.choice(words) for _ in range(9)) for _ in range(150)] + ["".join(own.choice(words) for _ in range(9)) for _ in range(75)] + ["_".join(own.choice(words).upper() for _ in range(9)) + str(own.randint(1, 2030)) for _ in range(75)]
+    prose += ["-" * 40, "_" * 25, "a" + "-" * 30, "/" * 20]
+    rows = [("prose", t) for t in prose] + [(k, make()) for k, make in kinds.items() for _ in range(30)]
+    docs = spark.createDataFrame([(k, f"see {t} there") for k, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {x["doc_id"]: x["n_random"] for x in S.find_secrets(docs).collect()}
+    found = {kind: sum(got[k] > 0 for k, (of_kind, _) in enumerate(rows) if of_kind == kind) for kind in ["prose", *kinds]}
+    assert found["prose"] <= 6 and all(found[k] >= 24 for k in kinds), found
+
+
 def test_normal_tail(spark):
     from statistics import NormalDist
 
