@@ -2,8 +2,8 @@
 
 Lines are normalised (trimmed, lower-cased, white space and digits folded) and hashed to 96 bits; for each host and line
 the distinct documents are counted, a text that occurs many times counting once, so that exact copies of a good document
-are no boilerplate. A line in more than max(MIN_DOCUMENTS, MAX_SHARE of the host's distinct documents) is above the limit
-and is removed. A document that keeps less than KEEP_SHARE of its words is depleted and is rejected, as is one that fails
+are no boilerplate. A line in more than max(MIN_DOCUMENTS, MAX_SHARE of the host's distinct documents), or in more than
+MAX_DOCUMENTS of them however large the host, is above the limit and is removed. A document that keeps less than KEEP_SHARE of its words is depleted and is rejected, as is one that fails
 the base rules (fewer than 20 words, or over 30 % of its words in repeated 8-word windows).
 
 What is shuffled are hashes and counts, keyed by host, text digest and line, after aggregation within each task; no text
@@ -24,6 +24,7 @@ from .common import WORD, let, stage_table, text_of, words_of
 
 MIN_DOCUMENTS = 10
 MAX_SHARE = 0.08
+MAX_DOCUMENTS = 100
 KEEP_SHARE = 0.3
 MIN_WORDS = 20
 MAX_REPEATED_PERCENT = 30
@@ -117,7 +118,7 @@ def removed_lines(rows: DataFrame) -> DataFrame:
     lines = stage_table(lines.drop("one"), "quality-lines")
     texts = rows.groupBy("host", "digest").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("one").alias("documents"))
     counts = lines.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MIN_DOCUMENTS)
-    above = counts.join(texts.withColumnRenamed("host", "_host"), F.col("host").eqNullSafe(F.col("_host"))).filter(F.col("n") > MAX_SHARE * F.col("documents"))
+    above = counts.join(texts.withColumnRenamed("host", "_host"), F.col("host").eqNullSafe(F.col("_host"))).filter(F.col("n") > F.least(MAX_SHARE * F.col("documents"), F.lit(float(MAX_DOCUMENTS))))
     above = above.select(F.col("host").alias("_host"), F.col("key").alias("_key"))
     found = lines.join(above, F.col("host").eqNullSafe(F.col("_host")) & (F.col("key") == F.col("_key")))
     return found.groupBy("host", "digest").agg(F.collect_set("key").alias("removed"))

@@ -48,6 +48,13 @@ def test_lines_above_the_limits(spark):
     assert all(got[300 + k]["kept"] and got[300 + k]["n_removed_words"] == 0 for k in range(60))
 
 
+def test_hot_and_small_host(spark):
+    rows = [(k, f"{unique(k)}\n{LINE}" if k < 120 else unique(k), "small") for k in range(300)]
+    rows += [(5000 + k, f"{unique(k)}\n{LINE}" if k < 120 else unique(k), "hot") for k in range(2500)]
+    got = {r["doc_id"]: r["n_removed_words"] for r in Q.judge_documents(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[first + k] == (14 if k < 120 else 0) for first in (0, 5000) for k in range(300))
+
+
 def test_depleted(spark):
     rows = corpus() + [(400, f"{LINE}\n{FOOTERS[0]} 1\n{FOOTERS[1]}\nfew own words {unique('o', 3)}", "h")]
     rows += [(500 + k, f"{FOOTERS[0]} {k}\n{unique(f'p{k}')}\n {FOOTERS[1].upper()}", "h") for k in range(30)]
