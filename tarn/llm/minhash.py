@@ -114,7 +114,7 @@ def _sign(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[
             keys = signatures(hashes, offsets, bands, rows)
             cls = [_set_key(hashes[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32)), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets).astype(np.int64)), pa.array(cls, pa.binary()), lists], names=["doc_id", "n", "cls", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets).astype(np.int64)), pa.array(cls, pa.binary()), lists, *batch.columns[2:]], names=["doc_id", "n", "cls", "bands", *batch.schema.names[2:]])
 
 
 def _key_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,10 +181,21 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Return doc_id, n_shingles, cls (16-byte key of the shingle set) and component_id, one row for each document."""
-    text = text_of(text_col)
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    shingled = source.select("doc_id", shingles(F.col("text"), width).alias("sh"))
-    signed = stage_table(shingled.mapInArrow(lambda it: _sign(it, bands, rows), "doc_id long, n long, cls binary, bands array<long>"), "minhash-signatures")
+    out = _grouped(docs, width, percent, bands, rows, id_col, text_col)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "cls", F.when(F.col("n") > 0, F.coalesce("id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _digest(text: Column) -> Column:
+    return F.unhex(F.md5(text))
+
+
+def _grouped(docs: DataFrame, width: int, percent: int, bands: int, rows: int, id_col: str, text_col: str, digest: bool = False) -> DataFrame:
+    """doc_id, n, cls, root (least class of the component, null for a class without links), id, and the digest of the text if asked."""
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    more = [_digest(F.col("text")).alias("digest")] if digest else []
+    shingled = source.select("doc_id", shingles(F.col("text"), width).alias("sh"), *more)
+    schema = "doc_id long, n long, cls binary, bands array<long>" + (", digest binary" if digest else "")
+    signed = stage_table(shingled.mapInArrow(lambda it: _sign(it, bands, rows), schema), "minhash-signatures")
     members = signed.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")).filter("n > 0")
     placed = members.select("cls", "doc_id", "n", F.posexplode("bands").alias("band", "bucket"))
     sizes = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
@@ -207,11 +218,10 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: i
         labels = _looked_again(group, sets, labels, percent, first // GROUP_BANDS if bands > GROUP_BANDS else None)
     least = signed.groupBy("cls").agg(F.min("doc_id").alias("first")).join(labels, "cls")
     roots = least.groupBy("root").agg(F.min("first").alias("component"))
-    component = labels.join(roots, "root").select("cls", "component")
+    component = labels.join(roots, "root").select("cls", "root", "component")
     same = signed.groupBy("cls").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("cls", "first")
-    ids = component.join(same, "cls", "full_outer").select("cls", F.coalesce("component", "first").alias("id"))
-    out = signed.select("doc_id", "n", "cls").join(ids, "cls", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "cls", F.when(F.col("n") > 0, F.coalesce("id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    ids = component.join(same, "cls", "full_outer").select("cls", "root", F.coalesce("component", "first").alias("id"))
+    return signed.drop("bands").join(ids, "cls", "left")
 
 
 def _looked_again(group: DataFrame, sets: DataFrame, labels: DataFrame, percent: int, seed: int | None) -> DataFrame:
@@ -274,6 +284,12 @@ def near_dedup_documents(docs: DataFrame, width: int = 3, percent: int = 85) ->
 def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The documents without near copies, all columns kept: of each group the document with the least doc_id stays.
 
-    Rows that share an id stay or go together."""
-    gone = near_duplicates(docs, width, percent).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__tarn_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__tarn_gone"), "left_anti")
+    Null ids rank last; of different texts of that id in the group, one of the least class stays. Rows that are equal in id
+    and text stay or go together, other rows of an id are judged by themselves. A text without shingles stays."""
+    rows = _grouped(docs, width, percent, BANDS, ROWS, "doc_id", "text", digest=True).filter("n > 0")
+    rows = rows.select("doc_id", "digest", "cls", F.coalesce("root", "cls").alias("group"))
+    least = rows.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "cls", "digest")).alias("least"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    gone = rows.join(least, "group").filter(~(F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("digest") == F.col("least.digest"))))
+    gone = gone.select(F.col("doc_id").alias("__tarn_gone"), F.col("digest").alias("__tarn_digest")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__tarn_gone")) & (_digest(text_of()) == F.col("__tarn_digest"))
+    return docs.join(gone, same, "left_anti")

@@ -86,6 +86,17 @@ def test_drop_near_copies(spark):
     assert out.columns == docs.columns and sorted(x["doc_id"] for x in out.collect()) == [3, 8, 9]
 
 
+def test_drop_near_copies_with_null_and_repeated_ids(spark):
+    base, other, third = text(80), text(80), text(80)
+    rows = [(3, base), (None, edited(base, 0.01) + " end"), (None, other), (None, other + " end"), (None, "alone with a null id"), (None, None), (None, None)]
+    rows += [(5, third), (6, third + " end"), (6, "alone with a repeated id"), (5, third)]
+    out = [tuple(x) for x in M.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    null_kept = [t for d, t in out if d is None and t and t.startswith(other)]
+    assert len(null_kept) == 1
+    rest = [(3, base), (None, "alone with a null id"), (None, None), (None, None), (5, third), (5, third), (6, "alone with a repeated id")]
+    assert sorted(out, key=repr) == sorted([*rest, (None, null_kept[0])], key=repr)
+
+
 def test_densification_fills_from_filled_bins():
     bins = np.full((3, 50), M._EMPTY, np.uint64)
     bins[0, [3, 40]] = [7, 8]
