@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,9 +16,11 @@ _staged: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; set here only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Set here only where it is unset and all is one process."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tarn-shared-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -39,16 +39,6 @@ def stage_table(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Shuffle files of finished plans go when the driver collects what refers to them; ask it to do so now.
-
-    Python lets go of its handles first, and what they held is collected by the JVM a round later."""
-    for _ in range(3):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.3)
-
-
 def _drop_staged() -> None:
     for spark, path in _staged:
         try:
@@ -79,3 +69,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def let(value: Column, body) -> Column:
     """body(value), with the value computed once per row; a plain expression inside a lambda is computed per element."""
     return F.transform(F.array(value), body)[0]
+
+
+def prefix_sums(sizes: Column, block: int = 64, levels: int = 3) -> Column:
+    """The sums of an array of ints before each place, in blocks of blocks, so that no long array is copied at each step."""
+    zero = F.lit(0)
+
+    def direct(a: Column) -> Column:
+        return F.slice(F.aggregate(a, F.array(zero), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n))), F.lit(1), F.size(a))
+
+    def blocked(a: Column) -> Column:
+        blocks = F.transform(F.sequence(zero, F.floor((F.size(a) - 1) / block).cast("int")), lambda k: F.slice(a, k * block + 1, F.lit(block)))
+
+        def joined(b: Column) -> Column:
+            before = prefix_sums(F.transform(b, lambda x: F.aggregate(x, zero, lambda acc, n: acc + n)), block, levels - 1)
+            return let(before, lambda s: F.flatten(F.transform(b, lambda x, k: F.transform(direct(x), lambda v: v + F.element_at(s, k + 1)))))
+
+        return let(blocks, joined)
+
+    if levels <= 1:
+        return let(sizes, direct)
+    return let(sizes, lambda a: F.when(F.size(a) <= block, direct(a)).otherwise(blocked(a)))

@@ -8,16 +8,17 @@ pre-tokens. A pre-token is written without the first space of its run, which is
    library counts the pieces of each distinct pre-token once.
 2. Pre-tokens in more than 1 of HOT_SHARE of all (document, pre-token) pairs are at most HOT_SHARE in number, whatever the
    corpus; with keys of at most KEY_CHARS characters they are a table of proven size, which is broadcast. In the second
-   pass each document sums those at once and emits only the others as (document, pre-token, frequency).
-   A document goes by its id and 8 bytes of a digest, which tell apart any number of texts with a null or repeated id (of
-   10 million of one id, two are alike with a probability of 3e-6). Such two would be noticed by 8 more bytes, and fail
-   the job rather than add up; another seed tells them apart.
-3. These rows are joined to the counts and summed. No key of that join has more than its 1 / HOT_SHARE share of the rows.
-No ids are materialised at any point, only counts.
+   pass each text sums those at once and emits only the others as (text, pre-token, frequency).
+   A text goes by a 64-bit hash, whatever its id, and copies that a task has met lately are not emitted again: the row of
+   the sum, which each emission has once, says by how many to divide. That row's key is 16 bytes of a digest. Where texts
+   of two digests share a hash, they are told from the others by it and counted apart, each as a whole.
+3. These rows are joined to the counts and summed per text. No key of that join has more than its 1 / HOT_SHARE share of
+   the rows. The sums are then joined to the documents, narrow rows of id, hash and size.
+Ids live no longer than a batch of distinct pre-tokens in the library's worker; only counts go on.
 
 Longer pre-tokens go by a 16-byte digest as their key. Defined results: a null text is empty and has 0 tokens. Repeated
-rows each get a result. Very long texts are counted whole, and so is a long text without spaces. Extra columns are not
-read. An empty table gives an empty result.
+rows each get a result, and any number of rows may share an id or have none. Very long texts are counted whole, and so is a
+long text without spaces. Extra columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,20 +32,24 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release_shuffles, stage_table, text_of
+from .common import stage_table, text_of
 
 HOT_SHARE = 600_000
 KEY_CHARS = 48
 OVER_LIMIT = 4096
 #: Distinct pre-tokens a task holds before it passes them on.
-HELD = 120_000
+HELD = 300_000
+#: Digests of texts that a task remembers having emitted.
+REMEMBERED = 200_000
 #: Bytes of text that a task turns into Python objects at once.
 CHUNK = 1_000_000
 _RUN = re.compile(" +[^ ]*")
 _SPACE = "▁"
+# How the keys of long pre-tokens and of sums start. Both have KEY_CHARS + 1 characters, more than a pre-token that is its own key.
+_LONG, _SUM = "\x00", "\x01"
 
 
 def pre_tokens(text: str) -> list[str]:
@@ -57,10 +62,14 @@ def pre_tokens(text: str) -> list[str]:
     return text.split(" ")
 
 
+def _padded(start: str, digest) -> str:
+    return start + digest.hexdigest() + start * (KEY_CHARS - 32)
+
+
 def key_of(pre_token: str) -> str:
     if len(pre_token) <= KEY_CHARS:
         return pre_token
-    return "\x00" + hashlib.blake2b(pre_token.encode(), digest_size=16).hexdigest() + "\x00" * (KEY_CHARS - 32)
+    return _padded(_LONG, hashlib.blake2b(pre_token.encode(), digest_size=16))
 
 
 def model_file(name: str = "piece_bpe_32k.model") -> str:
@@ -89,23 +98,25 @@ def chunks(column: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int]]:
 
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, pre_token, documents); what comes again and again is held on, so that it is passed on less often."""
     seen: Counter[str] = Counter()
 
-    def out() -> pa.RecordBatch:
-        keys = list(seen)
-        long = [k if len(k) > KEY_CHARS else None for k in keys]  # the others are their own key
-        batch = pa.RecordBatch.from_arrays([pa.array(map(key_of, keys), pa.string()), pa.array(long, pa.string()), pa.array(seen.values(), pa.int64())], names=["key", "pre_token", "documents"])
-        seen.clear()
-        return batch
+    def out(some: Counter[str]) -> pa.RecordBatch:
+        long = [k if len(k) > KEY_CHARS else None for k in some]  # the others are their own key
+        return pa.RecordBatch.from_arrays([pa.array(map(key_of, some), pa.string()), pa.array(long, pa.string()), pa.array(some.values(), pa.int64())], names=["key", "pre_token", "documents"])
 
     for batch in batches:
         for a, b in chunks(batch.column(0)):
             for text in batch.column(0).slice(a, b - a).to_pylist():
                 seen.update(set(pre_tokens(text)))
                 if len(seen) > HELD:
-                    yield out()
+                    often = Counter({k: n for k, n in seen.items() if n > 1})
+                    if len(often) > HELD // 2:
+                        often = Counter()
+                    yield out(Counter({k: n for k, n in seen.items() if k not in often}))
+                    seen = often
     if seen:
-        yield out()
+        yield out(seen)
 
 
 def _count_pieces(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
@@ -116,16 +127,19 @@ def _count_pieces(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64())], names=["key", "documents", "pieces"])
 
 
-def _sum_hot(batches: Iterator[pa.RecordBatch], hot: Broadcast, seed: int) -> Iterator[pa.RecordBatch]:
-    known = hot.value
-    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("whole", pa.int64()), ("n_bytes", pa.int64()), ("key", pa.string()), ("n", pa.int64())])
+def _sum_hot(batches: Iterator[pa.RecordBatch], hot: Broadcast) -> Iterator[pa.RecordBatch]:
+    known, met = hot.value, set()
+    schema = pa.schema([("digest", pa.int64()), ("key", pa.string()), ("n", pa.int64())])
     for batch in batches:
         for a, b in chunks(batch.column(1)):
-            rows: list[list] = [[] for _ in schema]
-            for doc, text in zip(batch.column(0).slice(a, b - a).to_pylist(), batch.column(1).slice(a, b - a).to_pylist(), strict=True):
-                raw = text.encode()
-                both = hashlib.blake2b(raw, digest_size=16, salt=seed.to_bytes(8)).digest()
-                digest, whole = (int.from_bytes(b, "little", signed=True) for b in (both[:8], both[8:]))
+            digests, keys, counts = [], [], []
+            for digest, text in zip(batch.column(0).slice(a, b - a).to_pylist(), batch.column(1).slice(a, b - a).to_pylist(), strict=True):
+                whole = _padded(_SUM, hashlib.blake2b(text.encode(), digest_size=16))
+                if whole in met:
+                    continue
+                if len(met) >= REMEMBERED:
+                    met.clear()
+                met.add(whole)
                 total, rest = 0, []
                 for token in pre_tokens(text):
                     n = known.get(token)
@@ -135,26 +149,42 @@ def _sum_hot(batches: Iterator[pa.RecordBatch], hot: Broadcast, seed: int) -> It
                         total += n
                 cold = Counter(rest)
                 # The key of the sum itself matches no pre-token, and is dealt evenly.
-                for column, first, others in zip(rows, (doc, digest, whole, len(raw), f"\x01{doc} {digest}", total), ([doc] * len(cold), [digest] * len(cold), [None] * len(cold), [None] * len(cold), map(key_of, cold), cold.values()), strict=True):
-                    column.append(first)
-                    column.extend(others)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
+                keys.append(whole)
+                keys.extend(map(key_of, cold))
+                counts.append(total)
+                counts.extend(cold.values())
+                digests.extend([digest] * (len(cold) + 1))
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.int64()), pa.array(keys, pa.string()), pa.array(counts, pa.int64())], schema=schema)
+
+
+def _count_whole(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    model = load(path)
+    for batch in batches:
+        counts = [sum(len(model.encode(p)) if p else 1 for p in pre_tokens(t)) for t in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+
 
+def count_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", limit: int = OVER_LIMIT, digest: Column | None = None) -> DataFrame:
+    """Return doc_id, n_bytes, n_tokens, over_limit, one row for each document.
 
-def count_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", limit: int = OVER_LIMIT, seed: int = 0) -> DataFrame:
-    """Return doc_id, n_bytes, n_tokens, over_limit, one row for each document."""
+    digest: a long for each text, by default a hash of 64 bits; texts that share one are still counted right."""
     spark, path = docs.sparkSession, path or model_file()
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), (F.xxhash64(text_of(text_col)) if digest is None else digest).alias("digest"))
     distinct = rows.select("text").mapInArrow(_distinct, "key string, pre_token string, documents long").groupBy("key").agg(F.any_value("pre_token").alias("pre_token"), F.sum("documents").alias("documents"))
     pieces = stage_table(distinct.mapInArrow(lambda it: _count_pieces(it, path), "key string, documents long, pieces long"), "token-pieces")
-    release_shuffles(spark)
     pairs = pieces.agg(F.sum("documents")).first()[0] or 0
     # At most HOT_SHARE rows pass, as their documents add up to no more than all pairs.
-    hot = pieces.filter((F.col("documents") * HOT_SHARE > pairs) & ~F.startswith("key", F.lit("\x00"))).select("key", "pieces").toArrow()
+    in_tier = (F.col("documents") * HOT_SHARE > pairs) & ~F.startswith("key", F.lit(_LONG))
+    hot = pieces.filter(in_tier).select("key", "pieces").toArrow()
     held = spark.sparkContext.broadcast(dict(zip(hot["key"].to_pylist(), hot["pieces"].to_pylist(), strict=True)))
-    parts = rows.mapInArrow(lambda it: _sum_hot(it, held, seed), "doc_id long, digest long, whole long, n_bytes long, key string, n long")
-    joined = parts.join(pieces.select("key", "pieces"), "key", "left")
-    # Rows that are equal in id and text add up together; each of them has the same share of the sums.
-    summed = joined.groupBy("doc_id", "digest").agg(F.sum(F.col("n") * F.coalesce("pieces", F.lit(1))).alias("total"), F.max("n_bytes").alias("n_bytes"), F.count("n_bytes").alias("copies"), F.min("whole").alias("low"), F.max("whole").alias("high"))
-    summed = summed.withColumn("copies", F.when(F.col("low") == F.col("high"), F.col("copies")).otherwise(F.raise_error(F.lit("two texts of one id share a digest; give another seed")).cast("long")))
-    return summed.select("n_bytes", "doc_id", F.expr("total div copies").alias("n_tokens"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    parts = rows.select("digest", "text").mapInArrow(lambda it: _sum_hot(it, held), "digest long, key string, n long")
+    joined = parts.join(pieces.filter(~in_tier).select("key", "pieces"), "key", "left")
+    mark = F.when(F.startswith("key", F.lit(_SUM)) & (F.length("key") > KEY_CHARS), F.xxhash64("key"))
+    sums = joined.groupBy("digest").agg(F.sum(F.col("n") * F.coalesce("pieces", F.lit(1))).alias("total"), F.count(mark).alias("times"), F.min(mark).alias("low"), F.max(mark).alias("high"))
+    sums = stage_table(sums.select("digest", F.expr("total div times").alias("n_tokens"), (F.col("low") != F.col("high")).alias("shared")), "token-sums")
+    sizes = rows.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
+    out = sizes.join(sums.filter("NOT shared"), "digest").select("doc_id", "n_bytes", "n_tokens")
+    if sums.filter("shared").limit(1).count():
+        alike = rows.join(sums.filter("shared").select("digest"), "digest", "left_semi").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text")
+        out = out.unionByName(alike.mapInArrow(lambda it: _count_whole(it, path), "doc_id long, n_bytes long, n_tokens long"))
+    return out.select("*", (F.col("n_tokens") > limit).alias("over_limit"))

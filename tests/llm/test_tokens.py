@@ -1,6 +1,5 @@
 """Token counts, and SentencePiece encoding and decoding."""
 
-import hashlib
 import random
 import zlib
 
@@ -41,18 +40,27 @@ def test_counts(spark, library, monkeypatch):
     assert C.count_tokens(docs.limit(0)).count() == 0
 
 
-def test_many_texts_of_one_id(spark, library):
-    """Two texts that four bytes of a digest don't tell apart."""
-    seen, alike = {}, None
-    for k in range(1_000_000):
-        short = hashlib.blake2b(f"text {k}".encode(), digest_size=8, salt=bytes(8)).digest()[4:]
-        if short in seen:
-            alike = [f"text {seen[short]}", f"text {k}"]
-            break
-        seen[short] = k
-    rows = [(d, t) for d in (None, 5) for t in [*alike, alike[0]]]
-    got = C.count_tokens(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted(map(tuple, got), key=repr) == sorted(((d, len(t), len(library.encode(t)), False) for d, t in rows), key=repr)
+def test_texts_that_share_a_hash(spark, library):
+    rows = [(d, t) for d in (None, 5) for t in TEXTS[:60]] + [(5, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = C.count_tokens(docs, digest=F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(40)))
+    want = [(d, len((t or "").encode()), n := len(library.encode(t or "")), n > 4096) for d, t in rows]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_very_many_texts_of_one_id(spark, library, doc_id):
+    docs = spark.range(300_000).select(F.lit(doc_id).cast("long").alias("doc_id"), F.concat(F.lit("text number "), "id").alias("text"))
+    got = C.count_tokens(docs)
+    assert got.count() == 300_000
+    want = sum(len(x) for x in library.encode([f"text number {k}" for k in range(300_000)]))
+    assert got.agg(F.sum("n_tokens")).first()[0] == want
+
+
+def test_marks_are_no_pre_tokens(spark, library):
+    texts = ["\x01" + "0" * 32, "\x00" + "a" * 32 + " \x01b", "\x01" * 49, "x" * 49 + " " + "\x00" * 60]
+    got = {x["doc_id"]: x["n_tokens"] for x in C.count_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {k: len(library.encode(t)) for k, t in enumerate(texts)}
 
 
 def test_encoding_is_the_librarys(library, vocabulary):
