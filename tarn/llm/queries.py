@@ -40,8 +40,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    conversations = table(spark, sf_dir, "conversations")
-    return preference.format_pairs(conversations, preference.neighbour_pairs(conversations))
+    return preference.format_pairs(preference.replaced_replies(table(spark, sf_dir, "conversations")))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,24 +67,44 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op8_preference": """
         WITH t AS (
-            SELECT conv_id // 2 AS pair_id, conv_id % 2 = 0 AS is_chosen, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
-            FROM conversations
+            SELECT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL
+        ), last AS (
+            SELECT conv_id, turn, coalesce(text, '') AS reply FROM t WHERE role = 'assistant'
+            QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC NULLS LAST, coalesce(text, '') DESC) = 1
+        ), swaps AS (
+            SELECT own.conv_id, own.turn, other.reply FROM last own JOIN last other ON other.conv_id = xor(own.conv_id, 1)
+        ), sides AS (
+            SELECT conv_id AS pair_id, true AS is_chosen, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM t
+            UNION ALL
+            SELECT conv_id, false, t.turn, coalesce(role, 'unknown'),
+                   CASE WHEN role = 'assistant' AND t.turn IS NOT DISTINCT FROM s.turn THEN reply ELSE coalesce(text, '') END
+            FROM t JOIN swaps s USING (conv_id)
         ), compared AS (
-            SELECT pair_id, turn,
+            SELECT pair_id, coalesce(turn, -1) AS place,
                    list(role || chr(1) || text ORDER BY role, text) FILTER (WHERE is_chosen) AS c,
                    list(role || chr(1) || text ORDER BY role, text) FILTER (WHERE NOT is_chosen) AS r
-            FROM t GROUP BY pair_id, turn
+            FROM sides GROUP BY ALL
         ), cut AS (
-            SELECT pair_id, min(turn) FILTER (WHERE c IS DISTINCT FROM r) AS cut FROM compared GROUP BY pair_id
+            SELECT pair_id, min(place) FILTER (WHERE c IS DISTINCT FROM r) AS cut FROM compared GROUP BY pair_id
         ), placed AS (
-            SELECT t.*, CASE WHEN cut IS NULL OR turn < cut THEN 'prompt' WHEN is_chosen THEN 'chosen' ELSE 'rejected' END AS segment
-            FROM t JOIN cut USING (pair_id)
+            SELECT s.pair_id, turn, role, greatest(coalesce(turn, 0) // 1024, 0) AS part,
+                   CASE WHEN cut IS NULL OR coalesce(turn, -1) < cut THEN 'prompt' WHEN is_chosen THEN 'chosen' ELSE 'rejected' END AS segment,
+                   '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS rendered, is_chosen
+            FROM sides s JOIN cut USING (pair_id)
+        ), spans AS (
+            SELECT *, sum(length(rendered)) OVER w - length(rendered) AS begins
+            FROM placed WHERE segment <> 'prompt' OR is_chosen
+            WINDOW w AS (PARTITION BY pair_id, part, segment ORDER BY turn NULLS FIRST, role, rendered ROWS UNBOUNDED PRECEDING)
+        ), named AS (
+            SELECT *, CAST(begins + length(role) + 13 AS VARCHAR) || ':' || CAST(begins + length(rendered) - 1 AS VARCHAR) AS span FROM spans
         )
-        SELECT pair_id, segment, turn, role,
-               '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS rendered,
-               CAST(CASE WHEN segment <> 'prompt' AND role = 'assistant' THEN length(role) + 13 ELSE 0 END AS INTEGER) AS mask_from,
-               CAST(CASE WHEN segment <> 'prompt' AND role = 'assistant' THEN length(role) + length(text) + 23 ELSE 0 END AS INTEGER) AS mask_to
-        FROM placed WHERE segment <> 'prompt' OR is_chosen
+        SELECT pair_id, CAST(part AS BIGINT) AS part,
+               coalesce(string_agg(rendered, '' ORDER BY turn NULLS FIRST, role, rendered) FILTER (WHERE segment = 'prompt'), '') AS prompt,
+               coalesce(string_agg(rendered, '' ORDER BY turn NULLS FIRST, role, rendered) FILTER (WHERE segment = 'chosen'), '') AS chosen,
+               coalesce(string_agg(rendered, '' ORDER BY turn NULLS FIRST, role, rendered) FILTER (WHERE segment = 'rejected'), '') AS rejected,
+               coalesce(string_agg(span, ',' ORDER BY begins) FILTER (WHERE segment = 'chosen' AND role = 'assistant'), '') AS chosen_mask,
+               coalesce(string_agg(span, ',' ORDER BY begins) FILTER (WHERE segment = 'rejected' AND role = 'assistant'), '') AS rejected_mask
+        FROM named GROUP BY pair_id, part
     """,
     "op10_exact_dedup": """
         SELECT doc_id,

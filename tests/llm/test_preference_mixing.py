@@ -18,41 +18,72 @@ CONVERSATIONS = [
 ]
 
 
-def expected(rows):
-    pairs = defaultdict(lambda: ([], []))
-    for conv, turn, role, text in rows:
-        pairs[None if conv is None else conv // 2][(conv or 0) % 2].append((turn, role or "unknown", text or ""))
+def expected(sides):
+    """Records of {pair: (chosen turns, rejected turns)}, of turns below 1024."""
     out = []
-    for pair, sides in pairs.items():
-        places = sorted({-1 if x[0] is None else x[0] for s in sides for x in s})
-        at = lambda s, p: sorted(x[1:] for x in s if (-1 if x[0] is None else x[0]) == p)
-        cut = next((p for p in places if at(sides[0], p) != at(sides[1], p)), 99)
-        for name, side in (("chosen", sides[0]), ("rejected", sides[1])):
-            for turn, role, text in side:
-                before = (-1 if turn is None else turn) < cut
-                if before and name == "rejected":
-                    continue
-                head, trained = f"<|im_start|>{role}\n", not before and role == "assistant"
-                rendered = f"{head}{text}<|im_end|>\n"
-                out.append((pair, "prompt" if before else name, turn, role, rendered, len(head) if trained else 0, len(rendered) - 1 if trained else 0))
+    for pair, (chosen, rejected) in sides.items():
+        clean = [sorted([(-1 if turn is None else turn, role or "unknown", text or "") for turn, role, text in side], key=lambda x: (x[0], x[1], x[2])) for side in (chosen, rejected)]
+        places = sorted({x[0] for s in clean for x in s})
+        at = lambda s, p: [x[1:] for x in s if x[0] == p]
+        cut = next((p for p in places if at(clean[0], p) != at(clean[1], p)), 10**9)
+        prompt = "".join(f"<|im_start|>{role}\n{text}<|im_end|>\n" for p, role, text in clean[0] if p < cut)
+        texts, masks = [], []
+        for side in clean:
+            text, spans = "", []
+            for _, role, content in (x for x in side if x[0] >= cut):
+                head = f"<|im_start|>{role}\n"
+                if role == "assistant":
+                    spans.append(f"{len(text) + len(head)}:{len(text) + len(head) + len(content) + len('<|im_end|>')}")
+                text += f"{head}{content}<|im_end|>\n"
+            texts.append(text)
+            masks.append(",".join(spans))
+        out.append((pair, 0, prompt, *texts, *masks))
     return sorted(out, key=repr)
 
 
-def test_preference(spark):
-    conversations = spark.createDataFrame(CONVERSATIONS, "conv_id long, turn long, role string, text string").withColumn("pair_id", F.lit(1)).withColumn("cut", F.lit(0))
-    out = preference.format_pairs(conversations, preference.neighbour_pairs(conversations))
-    assert sorted(map(tuple, out.collect()), key=repr) == expected(CONVERSATIONS)
-    masked = [r["rendered"][r["mask_from"] : r["mask_to"]] for r in out.filter("segment = 'rejected' AND role = 'assistant' AND pair_id = 0").collect()]
-    assert masked == ["no<|im_end|>"]
-
-
-def test_preference_in_several_pairs_and_empty(spark):
-    conversations = spark.createDataFrame(CONVERSATIONS, "conv_id long, turn long, role string, text string")
-    pairs = spark.createDataFrame([("p", 0, True), ("p", 1, False), ("q", 0, True), ("q", 2, False)], "pair_id string, conv_id long, is_chosen boolean")
-    got = {(r["pair_id"], r["segment"]) for r in preference.format_pairs(conversations, pairs).collect()}
-    assert got == {("p", "prompt"), ("p", "chosen"), ("p", "rejected"), ("q", "chosen"), ("q", "rejected")}
-    nothing = conversations.limit(0)
-    assert preference.format_pairs(nothing, preference.neighbour_pairs(nothing)).count() == 0
+def sides_of(rows):
+    own = defaultdict(list)
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            own[conv].append((turn, role, text))
+    last = {c: max(((-1 if t is None else t), text or "") for t, role, text in turns if role == "assistant") for c, turns in own.items() if any(x[1] == "assistant" for x in turns)}
+    out = {}
+    for c, turns in own.items():
+        swap = c in last and c ^ 1 in last
+        out[c] = (turns, [(t, role, last[c ^ 1][1] if role == "assistant" and (-1 if t is None else t) == last[c][0] else text) for t, role, text in turns] if swap else [])
+    return out
+
+
+def frame(spark, rows=CONVERSATIONS):
+    return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"pair_id": F.lit(1), "cut": F.lit(0), "part": F.lit("x")})
+
+
+def test_replaced_replies(spark):
+    out = [tuple(x) for x in preference.format_pairs(preference.replaced_replies(frame(spark))).collect()]
+    assert sorted(out, key=repr) == expected(sides_of(CONVERSATIONS))
+    pair = next(x for x in out if x[0] == 0)
+    assert pair[2].endswith("more<|im_end|>\n") and "yes" in pair[3] and "no" in pair[4]
+    a, b = map(int, pair[6].split(":"))
+    assert pair[4][a:b] == "no<|im_end|>"
+
+
+def test_given_pairs(spark):
+    pairs = spark.createDataFrame([("p", 0, True), ("p", 1, False), ("q", 0, True), ("q", 2, False), (None, 4, True), (None, 5, False), ("alone", 2, True)], "pair_id string, conv_id long, is_chosen boolean")
+    own = lambda c: [x[1:] for x in CONVERSATIONS if x[0] == c]
+    got = preference.format_pairs(preference.paired(frame(spark), pairs)).collect()
+    assert sorted(map(tuple, got), key=repr) == expected({"p": (own(0), own(1)), "q": (own(0), own(2)), None: (own(4), own(5)), "alone": (own(2), [])})
+    nothing = frame(spark).limit(0)
+    assert preference.format_pairs(preference.replaced_replies(nothing)).count() == 0
+
+
+def test_long_conversations_go_on_in_further_records(spark):
+    rows = [(c, t, "assistant" if t % 2 else "user", f"turn {t}" if t < 2999 else f"end {c}") for c in (20, 21) for t in range(3000)]
+    got = preference.format_pairs(preference.replaced_replies(frame(spark, rows))).filter("pair_id = 20").orderBy("part").collect()
+    assert [x["part"] for x in got] == [0, 1, 2]
+    whole = {s: "".join(x[s] for x in got) for s in ("prompt", "chosen", "rejected")}
+    want = expected(sides_of(rows))[0]
+    assert (whole["prompt"], whole["chosen"], whole["rejected"]) == want[2:5] and got[2]["chosen_mask"] == want[5]
+    assert preference.rendered_turns(preference.replaced_replies(frame(spark, rows))).count() == 2 * (3000 + 1)
 
 
 def test_rake():
