@@ -1,3 +1,4 @@
+import math
 from collections import defaultdict
 
 import numpy as np
@@ -87,36 +88,84 @@ def test_long_conversations_go_on_in_further_records(spark):
 
 
 def test_rake():
-    mass = np.random.default_rng(0).integers(0, 1000, (4, 3, 2)).astype(float)
-    mass[0, 0, 0] = 0
-    targets = [np.array([0.1, 0.2, 0.3, 0.4]), np.array([0.5, 0.3, 0.2]), np.array([0.6, 0.4])]
-    fitted = mass / mass.sum() * mixing.rake(mass, targets)
+    mass = np.random.default_rng(0).integers(1, 1000, (4, 3, 2)).astype(float)
+    targets = [mass.sum(axis=tuple(k for k in range(3) if k != axis)) * s * mass.sum() * 0.5 / (mass.sum(axis=tuple(k for k in range(3) if k != axis)) * s).sum() for axis, s in enumerate([np.array([1.1, 0.9, 1.0, 0.8]), np.array([1, 0.8, 0.9]), np.array([0.9, 1])])]
+    chance = mixing.rake(mass, targets, 0.5)
+    assert 0 <= chance.min() and chance.max() <= 1
     for axis, t in enumerate(targets):
-        assert np.allclose(fitted.sum(axis=tuple(k for k in range(3) if k != axis)), t, atol=1e-9)
-    assert mixing.rake(np.zeros((2, 2, 2)), [np.array([0.5, 0.5])] * 3).sum() == 0
+        assert np.allclose((mass * chance).sum(axis=tuple(k for k in range(3) if k != axis)), t, rtol=1e-9)
+    assert (mixing.rake(np.zeros((2, 2, 2)), [np.array([0.0, 0.0])] * 3) == 1).all()
+
+
+def test_what_a_category_lacks_goes_to_the_others():
+    out = mixing.feasible(np.array([0.5, 0.3, 0.2, 0.0]), np.array([100.0, 1000.0, 1000.0, 50.0]), 1000.0)
+    assert np.allclose(out, [100, 540, 360, 0])
+    assert np.allclose(mixing.feasible(np.array([1.0, 1.0]), np.array([3.0, 4.0]), 100.0), [3, 4])
 
 
 @pytest.fixture(scope="module")
 def docs(spark):
     rows = [(k, "word " * (k % 40 + 1) + ("|" * 6 if k % 10 == 0 else ""), ["en", "de", None][k % 3], f"s{min(k % 8, 3)}") for k in range(6000)]
-    rows += [(None, None, "en", None), (7, "again", "en", "s0"), (7, "again", "en", "s0"), (6001, "", "xx", "rare")]
+    rows += [(None, None, "en", None), (7, "again", "en", "s0"), (7, "again", "en", "s0"), (6001, "", "xx", "rare"), (6002, "word " * 90_000, "en", "s2")]
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("probability", F.lit("clash")).withColumn("topic", F.lit("clash"))
 
 
-def test_mix(spark, docs):
-    targets = mixing.Targets(source={"s0": 0.4, "s3": 0.3, "*": 0.3}, lang={"en": 0.5, "*": 0.5}, topic={"table": 0.3, "prose": 0.7})
+def fitted(rows, targets):
+    """Probabilities by source, lang and topic: the same fitting, written out."""
+    cells = defaultdict(float)
+    for r in rows:
+        cells[r["source"], r["lang"], r["topic"]] += r["n_tokens"]
+    total = sum(cells.values())
+    kinds, factors, wants = [], [], []
+    for k, axis in enumerate(mixing.AXES):
+        target, own = getattr(targets, axis), defaultdict(float)
+        for at, n in cells.items():
+            own[at[k]] += n
+        if isinstance(target, dict):
+            kind = {v: v if v in target and v != "*" else "*" for v in own}
+            share, factor = dict(target), dict.fromkeys(own, 1.0)
+        else:
+            kind = {v: math.floor(math.log2(n)) if n else "none" for v, n in own.items()}
+            of = lambda c: [v for v in own if kind[v] == c and own[v]]  # noqa: B023, E731
+            share = {c: sum(own[v] ** target for v in of(c)) for c in set(kind.values())}
+            factor = {v: n ** (target - 1) * sum(own[x] for x in of(kind[v])) / share[kind[v]] if n else 1.0 for v, n in own.items()}
+        have, want, left, open_ = defaultdict(float), {}, total * targets.keep, set()
+        for v, n in own.items():
+            have[kind[v]] += n
+        open_ = {c for c in have if have[c] > 0}
+        while open_:
+            weight = sum(share.get(c, 0.0) for c in open_)
+            full = {c for c in open_ if weight and left * share.get(c, 0.0) / weight >= have[c]}
+            if not full:
+                want |= {c: left * share.get(c, 0.0) / weight for c in open_} if weight else {}
+                break
+            want |= {c: have[c] for c in full}
+            left, open_ = left - sum(have[c] for c in full), open_ - full
+        kinds.append(kind)
+        factors.append(factor)
+        wants.append(want)
+    coarse = defaultdict(float)
+    for at, n in cells.items():
+        coarse[tuple(kinds[k][at[k]] for k in range(3))] += n
+    chance = {c: targets.keep if n else 1.0 for c, n in coarse.items()}
+    for _ in range(1000):
+        for k in range(3):
+            now = defaultdict(float)
+            for c, n in coarse.items():
+                now[c[k]] += n * chance[c]
+            chance = {c: min(1.0, p * (wants[k].get(c[k], 0.0) / now[c[k]] if now[c[k]] else 1.0)) if coarse[c] else 1.0 for c, p in chance.items()}
+    return {at: min(1.0, chance[tuple(kinds[k][at[k]] for k in range(3))] * math.prod(factors[k][at[k]] for k in range(3))) for at in cells}
+
+
+NAMED = mixing.Targets(source={"s0": 0.15, "s3": 0.6, "*": 0.25}, lang={"en": 0.4, "*": 0.6}, topic={"table": 0.05, "prose": 0.95}, keep=0.5)
+
+
+@pytest.mark.parametrize("targets", [NAMED, mixing.Targets(), mixing.Targets(source=0.3, lang={"en": 0.5, "de": 0.5}, topic=0.0, keep=0.6)])
+def test_brute_force(spark, docs, targets):
     rows = mixing.mix_documents(docs, targets).collect()
+    want = fitted(rows, targets)
     assert len(rows) == docs.count()
-    weight = defaultdict(float)
-    for r in rows:
-        assert 0 <= r["probability"] <= 1
-        for k in ("source", "lang", "topic"):
-            weight[k, r[k]] += r["n_tokens"] * r["probability"]
-    for k, target in (("source", targets.source), ("lang", targets.lang), ("topic", targets.topic)):
-        total = sum(v for (kind, _), v in weight.items() if kind == k)
-        for category, share in target.items():
-            assert abs(weight[k, category] / total - share) < 1e-6
-    assert abs(max(r["probability"] for r in rows) - 1) < 1e-12
+    assert all(abs(r["probability"] - want[r["source"], r["lang"], r["topic"]]) < 1e-9 for r in rows)
     expected = sum(r["probability"] for r in rows)
     assert abs(sum(r["selected"] for r in rows) - expected) < 4 * np.sqrt(expected)
     assert len({r["selected"] for r in rows if r["doc_id"] == 7 and r["n_tokens"] == 2}) == 1
@@ -124,16 +173,15 @@ def test_mix(spark, docs):
     assert all(again[r["doc_id"], r["n_tokens"]] == r["selected"] for r in rows)
 
 
-def test_powers(spark, docs):
-    rows = mixing.mix_documents(docs).collect()
-    mass, fitted = defaultdict(float), defaultdict(float)
-    for r in rows:
-        mass[r["source"]] += r["n_tokens"]
-        fitted[r["source"]] += r["n_tokens"] * r["probability"]
-    total, want = sum(mass.values()), {k: v**0.7 for k, v in mass.items()}
-    for k, v in fitted.items():
-        assert abs(v / sum(fitted.values()) - want[k] / sum(want.values())) < 1e-6
-    assert total > 0
+def test_targets_are_met(spark, docs):
+    report = {(r["marginal"], r["category"]): r for r in mixing.marginals(mixing.mix_documents(docs.filter("doc_id < 6001"), NAMED)).collect()}
+    total = sum(r["expected"] for (m, _), r in report.items() if m == "source")
+    assert abs(total / sum(r["available"] for (m, _), r in report.items() if m == "source") - NAMED.keep) < 1e-6
+    for m in mixing.AXES:
+        for c, share in getattr(NAMED, m).items():
+            named = [x for x in getattr(NAMED, m) if x != "*"]
+            got = sum(r["expected"] for (k, v), r in report.items() if k == m and (v == c or c == "*" and v not in named))
+            assert abs(got / total - share) < 1e-6, (m, c)
 
 
 def test_few_documents_do_not_set_the_scale(spark):
