@@ -85,3 +85,32 @@ def url_rule(host, path, rules):
         if (host == h or host.endswith("." + h)) and path.startswith(slash + p) and (best is None or len(text) > len(best[1])):
             best = (verdict, text)
     return best
+
+
+ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "folded32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base36": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+
+
+def battery(run):
+    """(encoding, letters, chi-squared, z of runs, z of serial correlation)."""
+    bare = re.sub("[-_/]", "", run)
+    if re.fullmatch("[0-9a-f]+|[0-9A-F]+", bare):
+        kind, body = "hex", bare.lower()
+    elif re.fullmatch("[A-Z2-7]+", bare) and len(re.findall("[2-7]", bare)) > 1:
+        kind, body = "base32", bare
+    elif re.fullmatch("[A-Z2-7]+|[a-z2-7]+", bare):
+        kind, body = "folded32", bare.upper()
+    elif re.fullmatch("[A-Z0-9]+|[a-z0-9]+", bare):
+        kind, body = "base36", bare.upper()
+    else:
+        kind, body = "base64", run.replace("-", "+").replace("_", "/")
+    letters, n = ALPHABETS[kind], len(body)
+    k, v = len(letters), [letters.index(c) + 1 for c in body]
+    chi = sum((body.count(c) - n / k) ** 2 / (n / k) for c in letters)
+    high = [x > k / 2 for x in v]
+    both = 2 * sum(high) * (n - sum(high))
+    changes = sum(a != b for a, b in zip(high, high[1:], strict=False))
+    runs = (changes - both / n) / (both * (both - n) / (n * n * (n - 1))) ** 0.5 if both > n else 9.0
+    mean = sum(v) / n
+    spread = sum((x - mean) ** 2 for x in v)
+    serial = (sum((a - mean) * (b - mean) for a, b in zip(v, v[1:], strict=False)) / spread + 1 / n) * n**0.5 if spread > 1e-9 else 9.0
+    return kind, n, chi, runs, serial

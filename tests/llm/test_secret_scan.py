@@ -1,3 +1,4 @@
+import math
 import random
 import string
 
@@ -69,7 +70,44 @@ def test_keys_of_one_case_are_found_and_prose_is_not(spark):
     docs = spark.createDataFrame([(k, f"see {t} there") for k, (_, t) in enumerate(rows)], "doc_id long, text string")
     got = {x["doc_id"]: x["n_random"] for x in S.find_secrets(docs).collect()}
     found = {kind: sum(got[k] > 0 for k, (of_kind, _) in enumerate(rows) if of_kind == kind) for kind in ["prose", *kinds]}
-    assert found["prose"] <= 6 and all(found[k] >= 24 for k in kinds), found
+    assert found["prose"] <= 6 and all(found[k] >= 18 for k in kinds), found  # a stricter null than the tuned one finds two thirds of base36
+
+
+def test_battery_and_scores(spark):
+    own = random.Random(8)
+    of = lambda letters: "".join(own.choice(letters) for _ in range(own.randint(20, 300)))
+    runs = [of(letters) for letters in ("01", "abc-_", string.ascii_letters + string.digits + "+/-_", string.ascii_lowercase + string.digits, string.ascii_uppercase + "234567", "0123456789abcdef", "aA", "x", "Zz9/") for _ in range(6)]
+    runs += [x["run"] for x in S.simulated_runs(spark, 90).collect()]
+    null = S.null_distribution(spark)
+    assert set(null) == set(S.ALPHABETS) and all(deviation > 0 for _, _, deviation in null.values())
+    rows = spark.createDataFrame([(x,) for x in runs], "run string").select("run", S.battery(F.col("run")).alias("t"), S.score(F.col("run"), null).alias("score")).collect()
+    for x in rows:
+        kind, n, *want = brute.battery(x["run"])
+        assert (x["t"]["encoding"], x["t"]["n"]) == (kind, n), x["run"]
+        assert all(abs(x["t"][k] - w) < 1e-6 * max(1, abs(w)) for k, w in zip(("uniform", "runs", "serial"), want, strict=True)), x["run"]
+        a, b, deviation = null[kind]
+        z = (((want[0] + want[1] ** 2 + want[2] ** 2) / (len(brute.ALPHABETS[kind]) + 1)) ** (1 / 3) - a - b * n**0.5) / deviation
+        score = -10 * math.log10(1 / (1 + math.exp(min(700.0, -(1.5976 * z + 0.070566 * z**3)))))
+        assert x["score"] in {math.floor(min(400.0, score) + e) for e in (-1e-6, 1e-6)}
+
+
+def test_false_discoveries_on_held_out_prose(spark):
+    """Words that the simulation has not, in its forms, with random keys among them."""
+    words = "number night point water room mother area money story fact month lot right study book eye job word issue side kind head quick brown jumps lazy camel under score guide make best before world computer science thing small government program question maison chemin lumiere langue strasse wasser freund arbeit ciudad mundo noche libro".split()
+    assert len(set(words) - set(S.WORDS)) > 50
+    prose = [x["run"] for x in S.simulated_runs(spark, 3000, words, seed=9).collect()]
+    keys = ["".join(r.choice(string.ascii_letters + string.digits) for _ in range(r.randint(48, 90))) for _ in range(400)]
+    docs = spark.createDataFrame([(k, f"see {t} there") for k, t in enumerate(prose + keys)], "doc_id long, text string")
+    found = {x["doc_id"]: x["n_random"] > 0 for x in S.find_secrets(docs).collect()}
+    false, true = sum(found[k] for k in range(len(prose))), sum(found[len(prose) + k] for k in range(len(keys)))
+    assert true >= 0.9 * len(keys) and false <= 0.05 * (false + true), (false, true)
+
+
+def test_a_text_with_very_many_matches(spark):
+    n, key = 100_000, "0123456789abcdef0123456789"
+    docs = spark.createDataFrame([(1, f"é {key}\n" * n)], "doc_id long, text string")
+    x = S.find_secrets(docs).first()
+    assert x["n_hex"] == n and x["base_sha256"] == brute.digest([(2 + k * (len(key) + 3), 2, 2 + k * (len(key) + 3) + len(key), "hex") for k in range(n)])
 
 
 def test_normal_tail(spark):
