@@ -7,6 +7,10 @@ that the best path ends with, and minus infinity if not; of all paths just one t
 encoding that merging by priority gives. A piece can follow another if undoing the merges of both along their common border, latest
 first, never meets two neighbours that would have merged earlier (`_follows`).
 
+A long word is cut into windows of WINDOW characters, STRIDE apart, which advance together like other words of one length.
+Where the windows of two neighbours have a border in common, and the pieces on either side of it can follow one another, all
+neighbours in the joined encoding can, so it is that of the whole; a word with windows that have no such seam is merged by priority.
+
 Words are runs of spaces with what follows; each distinct word is encoded once per worker while it is held (at most HELD
 words), and the ids of a text are gathered. Characters that are no piece become their bytes. Runs of two or more spaces
 are pieces of equal score, merged from the left after everything else, and are treated by `_spaces`.
@@ -14,7 +18,8 @@ are pieces of equal score, merged from the left after everything else, and are t
 Decoding joins the bytes of the pieces by one gather. decode(encode(text)) is the text, with U+2581 read as a space.
 
 Defined results: null and empty texts have no ids; their decoded form is empty. Repeated rows get equal results. Long
-texts are encoded whole, and a long run without spaces takes time in proportion to its length. Extra columns are passed on
+texts are encoded whole, and a long run without spaces takes time in proportion to its length, and where windows have no seam
+in n log n. A model that is not of the BPE kind is refused. Extra columns are passed on
 by `encode` unless named token_ids, which is replaced. An empty table gives an empty result.
 """
 
@@ -40,6 +45,11 @@ OFTEN = 2
 CHUNK = 2_000_000
 #: Places of words that advance together.
 PLACES = 200_000
+#: Windows of long words start STRIDE characters apart, a multiple of most lengths of pieces, and overlap by OVERLAP.
+STRIDE, OVERLAP = 240, 64
+#: Words of more than SHORT characters are grouped by multiples of FILL.
+SHORT, FILL = 24, 32
+_NO_PIECE = "\uffff"
 _SPACE = "▁"
 _B = np.uint64(0x9E3779B97F4A7C15)
 _M = np.uint64(0xD6E8FEB86659FD93)
@@ -110,10 +120,43 @@ def _merge(text: str, score: dict[str, float]) -> tuple[list[str], tuple[str, st
     return [p for p in parts if p], last
 
 
+def _varint(raw: bytes, at: int) -> tuple[int, int]:
+    value = shift = 0
+    while True:
+        value |= (raw[at] & 127) << shift
+        shift, at = shift + 7, at + 1
+        if raw[at - 1] < 128:
+            return value, at
+
+
+def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """The fields of a serialized protocol buffer, as (number, value)."""
+    at = 0
+    while at < len(raw):
+        tag, at = _varint(raw, at)
+        wire = tag & 7
+        if wire == 0:
+            value, at = _varint(raw, at)
+        else:
+            size, at = _varint(raw, at) if wire == 2 else (8 if wire == 1 else 4, at)
+            value, at = raw[at : at + size], at + size
+        yield tag >> 3, value
+
+
+def model_type(serialized: bytes) -> int:
+    """The type of a model file: 1 unigram (the default), 2 BPE, 3 word, 4 character."""
+    spec = next((v for k, v in _fields(serialized) if k == 2), b"")
+    return next((v for k, v in _fields(spec) if k == 3), 1)
+
+
 class Vocabulary:
     """The tables of a model, of a size that only depends on its vocabulary; made once and sent to the workers."""
 
     def __init__(self, path: str):
+        with open(path, "rb") as f:
+            kind = model_type(f.read())
+        if kind != 2:
+            raise ValueError(f"{path} is no BPE model: its type is {kind}")
         model = load(path)
         n = model.vocab_size()
         names = [model.id_to_piece(i) for i in range(n)]
@@ -124,6 +167,9 @@ class Vocabulary:
         self.ids = {names[i]: i for i in normal}
         self.byte_ids = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         words = {p: s for p, s in score.items() if len(p) == 1 or p not in self.space_scores}
+        assert _NO_PIECE not in words
+        self.scores = words
+        self.characters = np.array([*(len(p) for p in names), 1], np.int64)  # of pieces of a word; the last one is unknown
         self.rank = np.full(n + 1, -1, np.int64)  # when a piece is made; characters are there from the start
         self.left, self.right = np.full(n + 1, -1, np.int32), np.full(n + 1, -1, np.int32)
         order = {p: k for k, p in enumerate(sorted((p for p in words if len(p) > 1), key=lambda p: -words[p]))}
@@ -270,18 +316,49 @@ class Encoder:
                 at = k
         return [*parts, word[at:]]
 
+    def _long(self, words: list[str]) -> dict[str, np.ndarray]:
+        """The ids of words of more than a window."""
+        spans = {w: [(at, min(at + STRIDE + OVERLAP, len(w))) for at in range(0, max(1, len(w) - OVERLAP), STRIDE)] for w in words}
+        done = self._by_length(list({w[a:b] for w, some in spans.items() for a, b in some}))
+        out = {}
+        for word, windows in spans.items():
+            parts = [done[word[a:b]][0][slice(*done[word[a:b]][1:])] for a, b in windows]
+            out[word] = self._joined(word, windows, parts)
+        return out
+
+    def _joined(self, word: str, windows: list[tuple[int, int]], parts: list[np.ndarray]) -> np.ndarray:
+        borders = [a + np.concatenate([[0], np.cumsum(self.v.characters[ids])]) for (a, _), ids in zip(windows, parts, strict=True)]
+        starts, ends = [0], []
+        for left, right, before, after in zip(parts[:-1], parts[1:], borders[:-1], borders[1:], strict=True):
+            _, i, j = np.intersect1d(before, after, assume_unique=True, return_indices=True)
+            inside = (i > 0) & (j < len(right))
+            i, j = i[inside], j[inside]
+            good = np.flatnonzero(self.known.follows(self.v, left[i - 1], right[j])) if len(i) else i
+            if not len(good):
+                return self._by_priority(word)
+            ends.append(int(i[good[len(good) // 2]]))
+            starts.append(int(j[good[len(good) // 2]]))
+        return np.concatenate([ids[a:b] for ids, a, b in zip(parts, starts, [*ends, None], strict=True)])
+
+    def _by_priority(self, text: str) -> np.ndarray:
+        made, _ = _merge(text, self.v.scores)
+        return np.array([self.v.ids.get(p, self.v.unknown) if p in self.v.scores else self.v.unknown for p in made], np.int32)
+
     def _by_length(self, words: list[str]) -> dict[str, tuple[np.ndarray, int, int]]:
+        """(ids, from, to) of each word. Words of more than SHORT characters are filled up with characters that are no piece, each
+        an unknown one at the end, so that words of nearly one length advance together."""
         groups: dict[int, list[str]] = defaultdict(list)
         for w in words:
-            groups[len(w)].append(w)
-        out = {}
+            groups[len(w) if len(w) <= SHORT else -(-len(w) // FILL) * FILL].append(w)
+        out: dict[str, tuple[np.ndarray, int, int]] = {}
         for size, group in groups.items():
             step = max(1, PLACES // size)
             for at in range(0, len(group), step):
                 some = group[at : at + step]
-                ids, counts = self.viterbi(some)
+                filled = np.array([size - len(w) for w in some])
+                ids, counts = self.viterbi([w + _NO_PIECE * n for w, n in zip(some, filled.tolist(), strict=True)])
                 ends = np.cumsum(counts)
-                out.update(zip(some, zip([ids] * len(some), (ends - counts).tolist(), ends.tolist(), strict=True), strict=True))
+                out.update(zip(some, zip([ids] * len(some), (ends - counts).tolist(), (ends - filled).tolist(), strict=True), strict=True))
         return out
 
     def _add(self, pre_token: str, ids: np.ndarray) -> None:
@@ -340,7 +417,10 @@ class Encoder:
             if w:
                 w = _SPACE + w
                 parts[p] = [w] if len(w) <= 24 else self._cut(w)
-        done = self._by_length(list({w for ws in parts.values() for w in ws}))
+        every = {w for ws in parts.values() for w in ws}
+        long = [w for w in every if len(w) > STRIDE + OVERLAP]
+        done = self._by_length(list(every.difference(long)))
+        done.update((w, (ids, 0, len(ids))) for w, ids in self._long(long).items())
         for p in pre_tokens:
             run = len(p) - len(p.lstrip(" ")) + 1
             if p not in parts:
@@ -428,7 +508,7 @@ def _decode_batches(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.Reco
 
 
 def _round_trip(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
-    """Encoding and decoding in one worker, with the digests that the query returns in place of ids and texts."""
+    """Encoding and decoding in one worker."""
     v = sent.value
     encoder = _encoder(v)
     for batch in batches:
@@ -439,7 +519,8 @@ def _round_trip(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBa
             raw, ends = ids.astype("<i4").tobytes(), (4 * np.cumsum(counts)).tolist()
             digests = [zlib.crc32(raw[end - 4 * n : end]) for end, n in zip(ends, counts.tolist(), strict=True)]
             same = [x == y.replace(_SPACE, " ") for x, y in zip(back, texts, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(counts.astype(np.int64)), pa.array(digests, pa.int64()), pa.array(same)], names=["doc_id", "n_tokens", "ids_crc32", "round_trip"])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(ids.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(counts.astype(np.int64)), pa.array(digests, pa.int64()), pa.array(same), lists], names=["doc_id", "n_tokens", "ids_crc32", "round_trip", "token_ids"])
 
 
 def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, keep: list[str] | None = None) -> DataFrame:
@@ -459,7 +540,7 @@ def decode(rows: DataFrame, ids_col: str = "token_ids", path: str | None = None,
 
 
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """Return doc_id, n_tokens, ids_crc32 (of the ids as little-endian 32-bit words), round_trip (decoding gives the text)."""
+    """Return doc_id, n_tokens, ids_crc32 (of the ids as little-endian 32-bit words), round_trip (decoding gives the text), token_ids."""
     sent = docs.sparkSession.sparkContext.broadcast(Vocabulary(path or model_file()))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(lambda it: _round_trip(it, sent), "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean")
+    return rows.mapInArrow(lambda it: _round_trip(it, sent), "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean, token_ids array<int>")

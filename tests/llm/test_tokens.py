@@ -74,6 +74,25 @@ def test_encoding_is_the_librarys(library, vocabulary):
         assert V.decode_ids(vocabulary, ids, counts) == [t.replace("▁", " ") for t in some]
 
 
+def test_long_words(library, vocabulary):
+    """Words of several windows, with and without a seam, and words that are filled up."""
+    own = random.Random(4)
+    alphabets = ["ab", "x", "a", "xy=", "aeinrst", "abcdefghijklmnopqrstuvwxyz0123456789", "日本a\uffff", "the"]
+    texts = ["".join(own.choice(a) for _ in range(n)) for a in alphabets for n in (23, 24, 25, 31, 32, 33, 240, 303, 304, 305, 306, 367, 368, 544, 545, 1000, 3400)]
+    texts += ["the" * 3000, "x" * 1_000_000, "=" * 5000, " ".join("".join(own.choice("aeinrst") for _ in range(own.randint(20, 900))) for _ in range(60))]
+    ids, counts = V.Encoder(vocabulary).encode(texts)
+    ends = np.cumsum(counts)
+    for t, end, n in zip(texts, ends, counts, strict=True):
+        assert ids[end - n : end].tolist() == library.encode(t), t[:50]
+
+
+def test_other_models_are_refused(tmp_path):
+    assert V.model_type(b"\x12\x02\x18\x02") == 2 and V.model_type(b"\x12\x02\x20\x07") == 1 and V.model_type(b"") == 1
+    (tmp_path / "unigram.model").write_bytes(b"\x0a\x05\x0a\x01a\x18\x01\x12\x02\x18\x01")
+    with pytest.raises(ValueError, match="no BPE model"):
+        V.Vocabulary(str(tmp_path / "unigram.model"))
+
+
 def test_encoding_survives_forgetting(library, vocabulary, monkeypatch):
     monkeypatch.setattr(V, "HELD", 20)
     encoder = V.Encoder(vocabulary)
@@ -103,6 +122,6 @@ def test_frames(spark, library):
     assert len(got) == len(rows)
     for x in got:
         assert x["token_ids"] == library.encode(x["text"] or "") and x["decoded"] == (x["text"] or "").replace("▁", " ")
-    query = {(x["doc_id"], x["n_tokens"], x["ids_crc32"], x["round_trip"]) for x in V.encode_documents(docs).collect()}
-    assert query == {(d, len(ids := library.encode(t or "")), zlib.crc32(np.array(ids, "<i4").tobytes()), True) for d, t in rows}
+    query = {(x["doc_id"], x["n_tokens"], x["ids_crc32"], x["round_trip"], tuple(x["token_ids"])) for x in V.encode_documents(docs).collect()}
+    assert query == {(d, len(ids := library.encode(t or "")), zlib.crc32(np.array(ids, "<i4").tobytes()), True, tuple(ids)) for d, t in rows}
     assert V.encode_documents(docs.limit(0)).count() == 0 and V.decode(V.encode(docs.limit(0))).count() == 0
