@@ -16,7 +16,12 @@ similarity with nobody drop out; of the others, classes of different components
 compared as the condition of the join, so only links leave it; a sketch of SKETCH_BITS one-bit minima spares most pairs that
 are too unlike the full comparison. It fails a linked pair with a probability of 3e-6, so each group has a sketch of its own,
 which gives the pair another chance; a single group has none. A pair at the least similarity shares no band with a
-probability of 1e-10 (0.85, by 40 bands of 5 rows) or 1e-7 (0.8).
+probability of 1e-10 (0.85, by 40 bands of 5 rows) or 1e-7 (0.8). Buckets of more than SPLIT_ROWS rows in that look are dealt
+to several tasks, each of which compares a part of the bucket with all of it.
+
+`exact` is the way for those who can't accept such odds: after the stars, all classes of different components that share one
+of their rarest shingles are compared. Of n shingles the n - ceil(n x similarity) + 1 rarest in the corpus will do, since two
+sets that are similar enough can't differ in all of these.
 
 Shingles are 64-bit hashes. Links and components are tables; labels are propagated with pointer jumping, and each round
 is staged in the shared folder. Nothing but counts comes to the driver.
@@ -35,7 +40,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, let, stage_table, text_of, words_of
@@ -44,6 +49,8 @@ BANDS, ROWS = 40, 5
 #: Bands that are looked at again at once for links beside the stars.
 GROUP_BANDS = 20
 SKETCH_BITS = 512
+#: Rows of a bucket that one task compares with the bucket.
+SPLIT_ROWS = 2000
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -179,9 +186,9 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return common.filter(F.col("i") * 100 >= (F.col("t") - F.col("i")) * percent).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", exact: bool = False) -> DataFrame:
     """Return doc_id, n_shingles, cls (16-byte key of the shingle set) and component_id, one row for each document."""
-    out = _grouped(docs, width, percent, bands, rows, id_col, text_col)
+    out = _grouped(docs, width, percent, bands, rows, id_col, text_col, exact=exact)
     return out.select("doc_id", F.col("n").alias("n_shingles"), "cls", F.when(F.col("n") > 0, F.coalesce("id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
@@ -189,7 +196,7 @@ def _digest(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
-def _grouped(docs: DataFrame, width: int, percent: int, bands: int, rows: int, id_col: str, text_col: str, digest: bool = False) -> DataFrame:
+def _grouped(docs: DataFrame, width: int, percent: int, bands: int, rows: int, id_col: str, text_col: str, digest: bool = False, exact: bool = False) -> DataFrame:
     """doc_id, n, cls, root (least class of the component, null for a class without links), id, and the digest of the text if asked."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     more = [_digest(F.col("text")).alias("digest")] if digest else []
@@ -202,6 +209,8 @@ def _grouped(docs: DataFrame, width: int, percent: int, bands: int, rows: int, i
     buckets = stage_table(placed.join(sizes, "bucket"), "minhash-buckets")
     # The sets of the classes that share a bucket with another one.
     wanted = stage_table(buckets.groupBy("cls").agg(F.any_value("doc_id").alias("doc_id"), F.any_value("n").alias("n"), F.sum("size").alias("score")), "minhash-shared")
+    if exact:
+        wanted = stage_table(members.select("cls", "doc_id", "n").join(wanted.select("cls", "score"), "cls", "left"), "minhash-shared")
     # They grow with the corpus, so they are no side to broadcast.
     texts = source.join(wanted.select(F.col("cls").alias("want"), F.col("doc_id").alias("_id")).hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")))
     sets = texts.select("want", shingles(F.col("text"), width).alias("sh")).mapInArrow(_key_sets, "want binary, cls binary, sh array<long>")
@@ -213,7 +222,9 @@ def _grouped(docs: DataFrame, width: int, percent: int, bands: int, rows: int, i
     compared = stage_table(star.filter(_possible("n", "hub.n", percent)).select(F.least("hub.cls", "cls").alias("a"), F.greatest("hub.cls", "cls").alias("b")).distinct(), "minhash-pairs")
     labels = _components(_confirmed(compared, sets, percent))
 
-    for first in range(0, bands, GROUP_BANDS):
+    if exact:
+        labels = _merged_if_any(labels, _exact_links(sets, labels, percent))
+    for first in range(0, 0 if exact else bands, GROUP_BANDS):
         group = buckets.filter(F.col("band").between(first, first + GROUP_BANDS - 1)).select("bucket", "cls", "n")
         labels = _looked_again(group, sets, labels, percent, first // GROUP_BANDS if bands > GROUP_BANDS else None)
     least = signed.groupBy("cls").agg(F.min("doc_id").alias("first")).join(labels, "cls")
@@ -233,17 +244,43 @@ def _looked_again(group: DataFrame, sets: DataFrame, labels: DataFrame, percent:
     rest = stage_table(_mixed(rest, labels), "minhash-open")
     held = sets.join(rest.select("cls").distinct(), "cls", "left_semi").select("cls", "sh")
     sketched = held if seed is None else held.mapInArrow(lambda it: _sketch(it, seed), "cls binary, sh array<long>, sketch array<long>")
-    rest = rest.join(sketched, "cls").select("bucket", "n", "c", "root", *sketched.columns)
-    other = rest.select("bucket", *(F.col(k).alias(f"{k}_b") for k in rest.columns if k != "bucket"))
+    large = rest.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / SPLIT_ROWS).cast("int").alias("parts")).filter("parts > 1")
+    if large.limit(1).count():
+        rest = rest.join(large, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        mine = rest.withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+        rest = rest.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    else:
+        mine = rest = rest.withColumn("part", F.lit(0))
+    carried = lambda rows: rows.join(sketched, "cls").select("bucket", "part", "n", "c", "root", *sketched.columns)
+    keys = ("bucket", "part")
+    rest, other = carried(mine), carried(rest)
+    other = other.select(*keys, *(F.col(k).alias(f"{k}_b") for k in other.columns if k not in keys))
     common = F.least("c", "c_b")
     reaches = lambda i: i * 100 >= (F.col("n") + F.col("n_b") - i) * percent
     likely = reaches(common) if seed is None else reaches(common) & _alike(percent)
     linked = (F.col("cls") < F.col("cls_b")) & (F.col("root") != F.col("root_b")) & likely & reaches(F.size(F.array_intersect("sh", "sh_b")))
-    links = rest.join(other, "bucket").filter(linked).select(F.col("cls").alias("a"), F.col("cls_b").alias("b"))
+    return _merged_if_any(labels, rest.join(other, list(keys)).filter(linked).select(F.col("cls").alias("a"), F.col("cls_b").alias("b")))
+
+
+def _merged_if_any(labels: DataFrame, links: DataFrame) -> DataFrame:
     links = stage_table(links.groupBy("a", "b").agg(F.lit(1).alias("one")).drop("one"), "minhash-links")
     return _merged(labels, links) if links.limit(1).count() else labels
 
 
+def _exact_links(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """All links (a, b) between classes of different components."""
+    each = sets.select("cls", F.size("sh").alias("n"), F.explode("sh").alias("shingle"))
+    shared = each.join(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), "shingle")
+    own = Window.partitionBy("cls")
+    rank = F.row_number().over(own.orderBy("k", "shingle")) + F.col("n") - F.count(F.lit(1)).over(own)  # those of no other class come first
+    prefix = shared.select("cls", "n", "shingle", rank.alias("rank")).filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    prefix = stage_table(prefix.join(labels, "cls", "left").select("shingle", "cls", "n", F.coalesce("root", "cls").alias("root")), "minhash-prefix")
+    other = prefix.select("shingle", F.col("cls").alias("cls_b"), F.col("n").alias("m"), F.col("root").alias("root_b"))
+    met = prefix.join(other, "shingle").filter((F.col("cls") < F.col("cls_b")) & (F.col("root") != F.col("root_b")) & _possible("n", "m", percent))
+    pairs = met.groupBy(F.col("cls").alias("a"), F.col("cls_b").alias("b")).agg(F.lit(1).alias("one")).drop("one")
+    return _confirmed(stage_table(pairs, "minhash-pairs"), sets, percent)
+
+
 def _possible(n: str, m: str, percent: int) -> Column:
     """Whether sets of these sizes can be similar enough."""
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent

@@ -121,3 +121,19 @@ def test_sketches_estimate_similarity():
     sketch = M.sketches(np.concatenate([common, a, common, b]), np.array([0, 1850, 3700])).view(np.uint64)
     differ = sum(int(x ^ y).bit_count() for x, y in zip(sketch[0].tolist(), sketch[1].tolist(), strict=True))
     assert abs(1 - 2 * differ / M.SKETCH_BITS - 0.85) < 0.12
+
+
+def test_exact(spark):
+    """With one band of many rows next to nothing shares a bucket, and the exact way finds all links."""
+    rows = list(enumerate(corpus()))
+    root, _ = brute.components(rows, 3, 85)
+    got = {x["doc_id"]: x["component_id"] for x in M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, 1, 60, exact=True).collect()}
+    assert got == root
+
+
+def test_large_buckets_are_split(spark, monkeypatch):
+    monkeypatch.setattr(M, "SPLIT_ROWS", 3)
+    rows = list(enumerate(corpus()))
+    root, _ = brute.components(rows, 3, 85)
+    got = {x["doc_id"]: x["component_id"] for x in M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 3, 85).collect()}
+    assert got == root
