@@ -18,12 +18,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage_table, text_of
+from .common import let, stage_table, text_of
 
 # The multiplier of the published jump consistent hash, in limbs of 21, 21 and 22 bits from the lowest.
 MULTIPLIER = 2862933555777941757
 _LIMBS = (MULTIPLIER & 0x1FFFFF, MULTIPLIER >> 21 & 0x1FFFFF, MULTIPLIER >> 42)
 
+#: Steps that nearly all keys need at most, whatever the number of shards.
+JUMPS = 64
+
 
 def jump_shard(key: Column, shards: int) -> Column:
     """The shard, 0 to shards - 1, of a 64-bit key (a long column)."""
@@ -44,7 +47,10 @@ def jump_shard(key: Column, shards: int) -> Column:
         return F.when(s.j < shards, state(s.j, jump, t0.bitwiseAND(m21), k1, k2)).otherwise(s)
 
     first = state(F.lit(-1).cast("long"), zero, key.bitwiseAND(m21), F.shiftrightunsigned(key, 21).bitwiseAND(m21), F.shiftrightunsigned(key, 42).bitwiseAND(m22))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(shards)), first, step, lambda s: s.b.cast("int"))
+    # A key jumps some ln(shards) times; the few that jump more than JUMPS times go through all counts.
+    soon = F.aggregate(F.sequence(F.lit(1), F.lit(min(shards, JUMPS))), first, step)
+    whole = lambda s: F.aggregate(F.sequence(F.lit(1), F.lit(shards)), s, step, lambda x: x.b)
+    return let(soon, lambda s: F.when(s.j >= shards, s.b).otherwise(whole(s))).cast("int")
 
 
 def stable_key(id_col: str) -> Column:
