@@ -108,14 +108,13 @@ def _look_up(old: pa.Table, new: pa.Table) -> pa.Table:
 def exact_dedup(docs: DataFrame, historical: Column | None = None, id_col: str = "doc_id", text_col: str = "text", digest: Column | None = None) -> DataFrame:
     """Return (id, digest binary, copies, keep_id, group_size) for each distinct (id, text); the largest id of a text wins.
 
-    historical: which rows are the history, by default those with an id up to the middle of the range of ids. The result
-    does not depend on the choice, only the work does."""
+    historical: which rows are the history, by default those with an id up to about the median. The result does not depend on
+    the choice, only the work does."""
     digest = F.unhex(F.sha2(text_of(text_col), 256)) if digest is None else digest
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), digest.alias("digest"), *([F.coalesce(historical, F.lit(False)).alias("old")] if historical is not None else []))
     rows = stage_table(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("copies")), "dedup-rows")
-    n, low, high = rows.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).first()
+    n, middle = rows.agg(F.count(F.lit(1)), F.percentile_approx("doc_id", 0.5, F.lit(1000))).first()
     if historical is None:
-        middle = None if low is None else (low + high) // 2
         rows = rows.withColumn("old", F.coalesce(F.col("doc_id") <= F.lit(middle).cast("long"), F.lit(False)))
     buckets = max(1, -(-n // BUCKET_DIGESTS))
     bucket = F.pmod(F.xxhash64("digest"), F.lit(buckets)).cast("int").alias("bucket")
@@ -140,6 +139,17 @@ def dedup_documents(docs: DataFrame) -> DataFrame:
     )
 
 
+def new_documents(docs: DataFrame, history: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, digest, copies, keep_id, group_size, known) of each distinct (id, text) of docs against a table of earlier documents;
+    known says whether the history has the text. Ids are compared over both tables."""
+    side = lambda df, old: df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.lit(old).alias("old"))
+    both = side(docs, False).unionByName(side(history, True))
+    found = exact_dedup(both, F.col("old")).dropDuplicates(["digest"]).select("digest", "keep_id", "group_size")
+    seen = side(history, True).select(F.unhex(F.sha2(text_of("text"), 256)).alias("digest")).distinct().withColumn("hit", F.lit(True))
+    own = side(docs, False).select("doc_id", F.unhex(F.sha2(text_of("text"), 256)).alias("digest")).groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("copies"))
+    return own.join(found, "digest").join(seen, "digest", "left").select("doc_id", "digest", "copies", "keep_id", "group_size", F.col("hit").isNotNull().alias("known"))
+
+
 def drop_copies(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents without exact copies, all columns kept: one row of each text stays, that with the largest doc_id."""
     columns = docs.columns

@@ -53,3 +53,11 @@ def test_minimal_perfect_hash():
     mph = exact_dedup.PerfectHash(keys)
     assert sorted(mph.slots(keys).tolist()) == list(range(5000))
     assert exact_dedup.PerfectHash(keys[:0]).slots(keys[:3]).tolist() == [-1, -1, -1]
+
+
+def test_against_a_table_of_earlier_documents(spark):
+    table = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    history, docs = table([(1, "a"), (2, "a"), (10**15, "b"), (None, "old only")]), table([(5, "a"), (6, "c"), (7, "c"), (7, "c"), (8, None), (None, "b")])
+    got = {(x["doc_id"], x["copies"], x["keep_id"], x["group_size"], x["known"]) for x in exact_dedup.new_documents(docs, history).collect()}
+    assert got == {(5, 1, 5, 3, True), (6, 1, 7, 3, False), (7, 2, 7, 3, False), (8, 1, 8, 1, False), (None, 1, 10**15, 2, True)}
+    assert exact_dedup.new_documents(docs.limit(0), history).count() == 0 and {x["known"] for x in exact_dedup.new_documents(docs, history.limit(0)).collect()} == {False}
