@@ -11,6 +11,7 @@ from tarn.llm import mixing, quality_rules
 from tarn.llm import token_counts as C
 
 from . import brute
+from .test_preference_mixing import fitted
 
 r = random.Random(9)
 WORDS = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 7))) for _ in range(900)]
@@ -83,9 +84,11 @@ def test_stages(spark, sf_dir):
     root, _ = brute.components([(k, x["text"]) for k, x in rows.items() if k is not None], 5, 80)
     assert docs.columns == columns and {k for k in got if k is not None} == {k for k, v in root.items() if k == v} and len(root) > len(got)
 
-    chosen = {x["doc_id"] for x in mixing.mix_documents(docs, corpus_pipeline.TARGETS).collect() if x["selected"]}
+    rows = docs.select("doc_id", "source", "lang", mixing.topic_of(F.coalesce("text", F.lit(""))).alias("topic"), mixing.token_estimate(F.coalesce("text", F.lit(""))).alias("n_tokens"), F.expr("shiftrightunsigned(xxhash64(17, doc_id IS NULL, doc_id), 11) / power(2D, 53)").alias("draw")).collect()
+    chance = fitted(rows, corpus_pipeline.TARGETS)
+    chosen = {x["doc_id"] for x in rows if x["draw"] < chance[x["source"], x["lang"], x["topic"]]}
     docs, got = step("mixing to target weights", docs)
-    assert docs.columns == columns and set(got) == chosen and chosen
+    assert docs.columns == columns and set(got) == chosen and 0.6 * len(rows) < len(chosen) < len(rows)
 
     rows, (docs, got) = got, step("sentencepiece encoding", docs)
     library = C.load(C.model_file())
