@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, minhash, mixing, preference, quality_rules, secret_scan, sentencepiece_viterbi, sharding, token_counts, url_filter
+from . import exact_dedup, minhash, mixing, oracles, preference, quality_rules, secret_scan, sentencepiece_viterbi, sharding, token_counts, url_filter
 from .common import table
 
 
@@ -65,6 +65,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_quality_rules": oracles.OP5,
+    "op6_minhash_near_dedup": oracles.OP6,
+    "op7_sharding": oracles.OP7,
     "op8_preference": """
         WITH t AS (
             SELECT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL
