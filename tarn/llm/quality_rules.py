@@ -2,9 +2,10 @@
 
 Lines are normalised (trimmed, lower-cased, white space and digits folded) and hashed to 96 bits; for each host and line
 the distinct documents are counted, a text that occurs many times counting once, so that exact copies of a good document
-are no boilerplate. A line in more than max(MIN_DOCUMENTS, MAX_SHARE of the host's distinct documents), or in more than
-MAX_DOCUMENTS of them however large the host, is above the limit and is removed. A document that keeps less than KEEP_SHARE of its words is depleted and is rejected, as is one that fails
-the base rules (fewer than 20 words, or over 30 % of its words in repeated 8-word windows).
+are no boilerplate; with `each_copy` every row counts as a document of its own. A line in more than MIN_DOCUMENTS of them and
+in more than MAX_SHARE of the host's, or, however large the host, in more than MAX_DOCUMENTS, is above the limit and is
+removed. A document that keeps less than KEEP_SHARE of its words is depleted and is rejected, as is one that fails the base
+rules (fewer than 20 words, or over 30 % of its words in repeated 8-word windows).
 
 What is shuffled are hashes and counts, keyed by host, text digest and line, after aggregation within each task; no text
 and no list of all documents with a line. A very frequent line is one key of an aggregation with partial sums, and one
@@ -112,21 +113,22 @@ def narrow_rows(docs: DataFrame, id_col: str, host_col: str, text_col: str) -> D
     )
 
 
-def removed_lines(rows: DataFrame) -> DataFrame:
+def removed_lines(rows: DataFrame, each_copy: bool = False) -> DataFrame:
     """(host, digest, removed): the keys of a text's lines that are above the limits, for texts that have any."""
-    lines = rows.select("host", "digest", F.explode(F.array_distinct(F.transform("lines", lambda x: x.key))).alias("key")).groupBy("host", "digest", "key").agg(F.lit(1).alias("one"))
-    lines = stage_table(lines.drop("one"), "quality-lines")
-    texts = rows.groupBy("host", "digest").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("one").alias("documents"))
-    counts = lines.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MIN_DOCUMENTS)
+    copies = (F.count(F.lit(1)) if each_copy else F.lit(1).cast("long")).alias("copies")
+    lines = rows.select("host", "digest", F.explode(F.array_distinct(F.transform("lines", lambda x: x.key))).alias("key"))
+    lines = stage_table(lines.groupBy("host", "digest", "key").agg(copies), "quality-lines")
+    texts = rows.groupBy("host", "digest").agg(copies).groupBy("host").agg(F.sum("copies").alias("documents"))
+    counts = lines.groupBy("host", "key").agg(F.sum("copies").alias("n")).filter(F.col("n") > MIN_DOCUMENTS)
     above = counts.join(texts.withColumnRenamed("host", "_host"), F.col("host").eqNullSafe(F.col("_host"))).filter(F.col("n") > F.least(MAX_SHARE * F.col("documents"), F.lit(float(MAX_DOCUMENTS))))
     above = above.select(F.col("host").alias("_host"), F.col("key").alias("_key"))
     found = lines.join(above, F.col("host").eqNullSafe(F.col("_host")) & (F.col("key") == F.col("_key")))
     return found.groupBy("host", "digest").agg(F.collect_set("key").alias("removed"))
 
 
-def judge_rows(rows: DataFrame) -> DataFrame:
+def judge_rows(rows: DataFrame, each_copy: bool = False) -> DataFrame:
     """rows with removed, n_removed_words, base_failed and kept."""
-    gone = removed_lines(rows).select(F.col("host").alias("_host"), F.col("digest").alias("_digest"), "removed")
+    gone = removed_lines(rows, each_copy).select(F.col("host").alias("_host"), F.col("digest").alias("_digest"), "removed")
     out = rows.join(gone, F.col("host").eqNullSafe(F.col("_host")) & (F.col("digest") == F.col("_digest")), "left").drop("_host", "_digest")
     lost = F.aggregate("lines", F.lit(0).cast("long"), lambda acc, x: acc + F.when(F.array_contains(F.col("removed"), x.key), x.words).otherwise(0).cast("long"))
     out = out.withColumn("n_removed_words", F.when(F.col("removed").isNull(), F.lit(0).cast("long")).otherwise(lost))
@@ -135,16 +137,16 @@ def judge_rows(rows: DataFrame) -> DataFrame:
     return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~depleted)
 
 
-def judge_documents(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text") -> DataFrame:
+def judge_documents(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", each_copy: bool = False) -> DataFrame:
     """Return doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_removed_words."""
-    return judge_rows(narrow_rows(docs, id_col, host_col, text_col)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
+    return judge_rows(narrow_rows(docs, id_col, host_col, text_col), each_copy).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
 
 
-def clean_documents(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text") -> DataFrame:
+def clean_documents(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", each_copy: bool = False) -> DataFrame:
     """The documents that are kept, all columns, with the lines above the limits taken out of the text.
 
     A verdict depends on host and text alone, so it is joined by these two."""
-    judged = judge_rows(narrow_rows(docs, id_col, host_col, text_col)).filter("kept")
+    judged = judge_rows(narrow_rows(docs, id_col, host_col, text_col), each_copy).filter("kept")
     verdicts = judged.groupBy(F.col("host").alias("__tarn_host"), F.col("digest").alias("__tarn_digest")).agg(F.any_value("removed").alias("__tarn_removed"))
     marked = docs.withColumns({"__tarn_h": F.col(host_col).cast("string"), "__tarn_d": _digest(text_of(text_col))})
     out = marked.join(verdicts, F.col("__tarn_h").eqNullSafe(F.col("__tarn_host")) & (F.col("__tarn_d") == F.col("__tarn_digest")))

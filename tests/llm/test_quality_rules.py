@@ -48,6 +48,15 @@ def test_lines_above_the_limits(spark):
     assert all(got[300 + k]["kept"] and got[300 + k]["n_removed_words"] == 0 for k in range(60))
 
 
+def test_each_copy_a_document(spark):
+    rows = [*corpus(), (7, corpus()[50][1], "elsewhere"), (None, corpus()[50][1], None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in Q.judge_documents(docs, each_copy=True).filter("doc_id >= 300 OR doc_id IS NULL").collect()}
+    assert all(not got[300 + k]["kept"] and got[300 + k]["n_removed_words"] == 32 for k in range(60)) and got[None]["n_removed_words"] == 0
+    kept = {r["doc_id"] for r in Q.clean_documents(docs, each_copy=True).collect()}
+    assert not kept & set(range(300, 360)) and set(range(40)) <= kept
+
+
 def test_hot_and_small_host(spark):
     rows = [(k, f"{unique(k)}\n{LINE}" if k < 120 else unique(k), "small") for k in range(300)]
     rows += [(5000 + k, f"{unique(k)}\n{LINE}" if k < 120 else unique(k), "hot") for k in range(2500)]
