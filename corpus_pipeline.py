@@ -29,8 +29,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled to the token shares of TARGETS."""
-    return mixing.sample_documents(docs, TARGETS)
+    """Documents sampled to the token shares of TARGETS, each category to its own."""
+    return mixing.sample_documents(docs, TARGETS, classes=False)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tarn.llm import mixing, preference
+from tarn.llm import mixing, preference, queries
 
 CONVERSATIONS = [
     (0, 0, "user", "hi"), (0, 1, "assistant", "good"), (0, 2, "user", "more"), (0, 3, "assistant", "yes"),
@@ -201,3 +201,69 @@ def test_sample_and_empty(spark, docs):
     assert mixing.mix_documents(docs.limit(0)).count() == 0 and mixing.sample_documents(docs.limit(0)).count() == 0
     nulls = spark.createDataFrame([(1, None, None, None)], docs.select("doc_id", "text", "lang", "source").schema)
     assert mixing.mix_documents(nulls).count() == 1
+
+
+def raked(rows, targets, rounds=1000):
+    """(probabilities by source, lang and topic; wanted tokens by axis and category): each category fitted to its own target."""
+    cells = defaultdict(float)
+    for r in rows:
+        cells[r["source"], r["lang"], r["topic"]] += r["n_tokens"]
+    kinds, wants = [], []
+    for k, axis in enumerate(mixing.AXES):
+        target = getattr(targets, axis)
+        kind = {at[k]: (at[k] if at[k] in target else "*") if isinstance(target, dict) else (at[k],) for at in cells}
+        own = defaultdict(float)
+        for at, n in cells.items():
+            own[kind[at[k]]] += n
+        share = {c: (target.get(c, 0.0) if isinstance(target, dict) else n**target) if n else 0.0 for c, n in own.items()}
+        low, high = 0.0, 1e15  # the level at which no category gets more than it has
+        for _ in range(300):
+            level = (low + high) / 2
+            low, high = (level, high) if sum(min(n, level * share[c]) for c, n in own.items()) < targets.keep * sum(own.values()) else (low, level)
+        kinds.append(kind)
+        wants.append({c: min(n, high * share[c]) for c, n in own.items()})
+    coarse = defaultdict(float)
+    for at, n in cells.items():
+        coarse[tuple(kinds[k][at[k]] for k in range(3))] += n
+    chance = {c: targets.keep if n else 1.0 for c, n in coarse.items()}
+    for _ in range(rounds):
+        for k in range(3):
+            now = defaultdict(float)
+            for c, n in coarse.items():
+                now[c[k]] += n * chance[c]
+            chance = {c: min(1.0, p * (wants[k][c[k]] / now[c[k]] if now[c[k]] else 1.0)) if coarse[c] else 1.0 for c, p in chance.items()}
+    return {at: chance[tuple(kinds[k][at[k]] for k in range(3))] for at in cells}, [{v: wants[k][c] for v, c in kinds[k].items()} for k in range(3)]
+
+
+def test_query_fits_each_category_to_its_own_target(spark, docs, tmp_path):
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    out = queries.op9_mixing(spark, str(tmp_path))
+    rows = out.collect()
+    want, wanted = raked(rows, mixing.Targets())
+    assert len(rows) == docs.count()
+    assert all(abs(r["probability"] - want[r["source"], r["lang"], r["topic"]]) < 1e-9 for r in rows)
+    total = sum(r["n_tokens"] for r in rows)
+    report = mixing.marginals(out).collect()
+    assert {r["marginal"] for r in report} == set(mixing.AXES)
+    assert all(abs(r["expected"] - wanted[mixing.AXES.index(r["marginal"])][r["category"]]) < 1e-6 * total for r in report)
+
+
+@pytest.mark.parametrize("targets", [NAMED, mixing.Targets(source=0.3, lang={"en": 0.5, "de": 0.5}, topic=0.0, keep=0.6)])
+@pytest.mark.parametrize("cells", [0, 1000])
+def test_fitting_by_spark_and_on_the_driver(spark, docs, monkeypatch, targets, cells):
+    monkeypatch.setattr(mixing, "DRIVER_CELLS", cells)
+    monkeypatch.setattr(mixing, "ROUNDS", 4)
+    rows = mixing.mix_documents(docs, targets, classes=False).collect()
+    want, _ = raked(rows, targets, 4)
+    assert len(rows) == docs.count()
+    assert all(abs(r["probability"] - want[r["source"], r["lang"], r["topic"]]) < 1e-9 for r in rows)
+    again = {(r["doc_id"], r["n_tokens"]): r["selected"] for r in mixing.mix_documents(docs.repartition(9), targets, classes=False).collect()}
+    assert all(again[r["doc_id"], r["n_tokens"]] == r["selected"] for r in rows)
+
+
+def test_fitting_of_each_category_on_empty_tables(spark, docs, monkeypatch):
+    nulls = spark.createDataFrame([(1, None, None, None)], docs.select("doc_id", "text", "lang", "source").schema)
+    for cells in (1000, 0):
+        monkeypatch.setattr(mixing, "DRIVER_CELLS", cells)
+        assert mixing.mix_documents(docs.limit(0), classes=False).count() == 0
+        assert [r["probability"] for r in mixing.mix_documents(nulls, classes=False).collect()] == [1.0]
