@@ -137,3 +137,31 @@ def test_large_buckets_are_split(spark, monkeypatch):
     root, _ = brute.components(rows, 3, 85)
     got = {x["doc_id"]: x["component_id"] for x in M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 3, 85).collect()}
     assert got == root
+
+
+@pytest.mark.parametrize("rows", [0, 4, 1000])
+def test_pairs_of_small_buckets_and_links_inside_large_ones(spark, monkeypatch, rows):
+    monkeypatch.setattr(M, "PAIR_ROWS", rows)
+    docs = list(enumerate(corpus()))
+    root, _ = brute.components(docs, 3, 85)
+    got = {x["doc_id"]: x["component_id"] for x in M.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), 3, 85).collect()}
+    assert got == root
+
+
+def test_sets_are_not_shuffled_for_each_row_of_a_small_bucket(spark):
+    """Six texts that each lack another sixth share bands and shingles, but no two are linked."""
+    own, texts = random.Random(12), []
+    for _ in range(60):
+        parts = [" ".join(f"u{own.randrange(10**9)}" for _ in range(100)) for _ in range(6)]
+        texts += [" ".join(p for j, p in enumerate(parts) if j != k) for k in range(6)]
+    store = spark.sparkContext._jsc.sc().statusStore()
+    written = lambda: sum(store.executorList(True).apply(k).totalShuffleWrite() for k in range(store.executorList(True).size()))
+    before, least = written(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = M.near_dedup_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    assert all(x["kept"] for x in got) and len(got) == 360
+    times = (written() - before) / sum(map(len, texts))
+    assert times < 14
