@@ -165,3 +165,34 @@ def test_sets_are_not_shuffled_for_each_row_of_a_small_bucket(spark):
     assert all(x["kept"] for x in got) and len(got) == 360
     times = (written() - before) / sum(map(len, texts))
     assert times < 14
+
+
+def test_shuffle_files_go_with_each_staged_table(spark):
+    """What the staged tables stand for is not kept on disk until the driver collects its garbage."""
+    own = random.Random(13)
+    bases = [[f"u{own.randrange(10**9)}" for _ in range(200)] for _ in range(60)]
+    texts = [" ".join([*b, f"e{k}"]) for b in bases for k in range(4)]
+    env, store = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get(), spark.sparkContext._jsc.sc().statusStore()
+
+    def held():
+        files = env.blockManager().diskBlockManager().getAllFiles()
+        files = [files.apply(k) for k in range(files.size())]
+        return {(f.getPath(), f.length()) for f in files if f.getName().startswith("shuffle_")}
+
+    written = lambda: sum(store.executorList(True).apply(k).totalShuffleWrite() for k in range(store.executorList(True).size()))
+    files, before, least = held(), written(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        M.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    assert sum(size for _, size in held() - files) * 20 < written() - before
+
+
+def test_marked_rows(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, f"t{k}") for k in range(2000)] + [(None, "null"), (7, "again")], "k long, t string")
+    wanted = spark.createDataFrame([(7,), (1999,), (None,), (7,), (5000,)], "w long")
+    assert sorted(x["t"] for x in M._marked(rows, "k", wanted, "w").collect()) == ["again", "null", "t1999", "t7"]
+    assert M._marked(rows, "k", wanted.limit(0), "w").count() == 0
+    monkeypatch.setattr(M, "MARK_BITS", 1)
+    assert M._marked(rows, "k", wanted, "w").count() == 2002
